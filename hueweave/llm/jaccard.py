@@ -23,8 +23,10 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
 #: Bytes of text of a fragment: some six million n-grams.
 FRAGMENT_BYTES = 32 << 20
-#: Rounds of one pivot per n-gram before the pairs that are left are taken one by one.
-ROUNDS = 3
+#: Pivots of an n-gram in each round, before the pairs that are left are taken one by one. In the first the pivot of a group of near copies is the
+#: same for all its n-grams, which makes the group one star; later the sets outside the component that most sets of an n-gram lie in are
+#: held against so many of that component.
+PIVOTS = (1, 4, 16, 64)
 
 
 class Words(dict):
@@ -69,95 +71,154 @@ def from_six(b: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _rows(by: np.ndarray, width: int, *values: np.ndarray) -> tuple[list[int], list[list[np.ndarray]]]:
+    """What is to go to each destination: the destinations among by, sorted, and the slices of each of values, which are sorted by it."""
+    cuts = np.flatnonzero(np.diff(by, prepend=-1, append=width + 1))
+    return by[cuts[:-1]].tolist(), [[v[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)] for v in values]
+
+
+def _lists(x: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.array(x, pa.list_(kind))
+
+
+def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for lens[0] numbers, then on from starts[1]."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(int(lens.sum())) if len(lens) else np.zeros(0, np.int64)
+
+
 def _cut(docs: DataFrame, fragments: int, n: int) -> DataFrame:
-    """Rows to deal: for each document one with its class, and for each fragment that its set reaches one with that segment.
+    """Rows to deal, in parcels: of each batch, one with the documents' classes, and for each fragment one with the segments of its classes there.
 
     Within a batch, a class's segments are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part, cls, size, at, blob, sent = [], [], [], [], [], set()
-            for i, t in enumerate(b.column(2).to_pylist()):
-                g = shingles(t, n)
-                c = int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True)
-                part.append(c % fragments)
-                cls.append(c)
-                size.append(len(g))
-                at.append(i)
-                blob.append(None)
-                if len(g) and c not in sent:
-                    sent.add(c)
-                    f = (g >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-                    cuts = np.concatenate([[0], np.flatnonzero(f[1:] != f[:-1]) + 1, [len(g)]])
-                    raw = six_bytes(g & _LOW48)
-                    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                        part.append(int(f[x]))
-                        cls.append(c)
-                        size.append(len(g))
-                        at.append(None)
-                        blob.append(raw[x:y].tobytes())
-            row = pa.array(at, pa.int64())
-            yield pa.record_batch([pa.array(part, pa.int32()), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), b.column(0).take(row), b.column(1).take(row), pa.array(blob, pa.binary())], names=["part", "cls", "n", "doc_id", "h", "blob"])
-
-    return docs.mapInArrow(run, f"part int, cls long, n int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, blob binary")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition holds whole fragments: documents pass, segments keep the n-grams that several classes hold, each with a byte that grows with their number."""
-    cls, size, part, blobs, seen, kind = [], [], [], [], set(), None
-    for b in batches:
-        kind = b.schema.field(3).type
-        parts, classes_, sizes, blob = (b.column(i).to_pylist() for i in (0, 1, 2, 5))
-        docs = [i for i, x in enumerate(blob) if x is None]
-        if docs:
-            at = pa.array(docs, pa.int64())
-            none = pa.nulls(len(docs))
-            yield pa.record_batch([none.cast(pa.int32()), b.column(1).take(at), b.column(2).take(at), b.column(3).take(at), b.column(4).take(at), none.cast(pa.int32()), none.cast(pa.binary())], names=_NAMES)
-        for p, c, n, x in zip(parts, classes_, sizes, blob, strict=True):
-            if x is not None and (p, c) not in seen:
-                seen.add((p, c))
-                part.append(p)
-                cls.append(c)
-                size.append(n)
-                blobs.append(x)
-    part_ = np.array(part, np.int32)
-    lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 6
-    for p in np.unique(part_).tolist():
-        own = np.flatnonzero(part_ == p)
-        h = from_six(np.frombuffer(b"".join(blobs[i] for i in own.tolist()), np.uint8).reshape(-1, 6))
-        order = np.argsort(h)
-        s = h[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]])
-        run = np.cumsum(new) - 1
-        df = np.empty(len(h), np.int64)
-        df[order] = np.bincount(run)[run]
-        owner = np.repeat(np.arange(len(own)), lens[own])
-        keep = df > 1
-        h, df, owner = h[keep], df[keep], owner[keep]
-        raw = np.empty((len(h), 7), np.uint8)
-        raw[:, :6] = six_bytes(h)
-        raw[:, 6] = np.minimum(255, (4 * np.log2(df)).astype(np.int64)) if len(h) else 0
-        cuts = np.searchsorted(owner, np.arange(len(own) + 1))
-        for a in range(0, len(own), 4096):
-            some = [i for i in range(a, min(a + 4096, len(own))) if cuts[i + 1] > cuts[i]]
-            if some:
-                yield pa.record_batch(
-                    [pa.array([p] * len(some), pa.int32()), pa.array([cls[own[i]] for i in some], pa.int64()), pa.array([size[own[i]] for i in some], pa.int32()), pa.nulls(len(some)).cast(kind), pa.nulls(len(some)).cast(pa.int64()), pa.array([int(cuts[i + 1] - cuts[i]) for i in some], pa.int32()), pa.array([raw[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary())],
-                    names=_NAMES,
-                )
-
-
-_NAMES = ["part", "cls", "n", "doc_id", "h", "k", "blob"]
+            sets = [shingles(t, n) for t in b.column(2).to_pylist()]
+            cls = np.array([int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) for g in sets], np.int64)
+            sizes = np.array([len(g) for g in sets], np.int32)
+            once = np.sort(np.unique(cls, return_index=True)[1])
+            g = np.concatenate([sets[i] for i in once.tolist()]) if len(once) else np.zeros(0, np.uint64)
+            owner = np.repeat(once, sizes[once])
+            f = ((g >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(f, kind="stable")
+            parts, (hashes, owners) = _rows(f[order], fragments, g[order], owner[order])
+            held = [np.unique(o, return_counts=True) for o in owners]
+            k = len(parts)
+            one = lambda x, kind: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind)), pa.nulls(k).cast(pa.list_(kind))])
+            first = int(cls[0]) % fragments if len(cls) else 0
+            yield pa.record_batch(
+                [
+                    pa.array([first, *parts], pa.int32()),
+                    _lists([cls, *(cls[o] for o, _ in held)], pa.int64()),
+                    _lists([sizes, *(sizes[o] for o, _ in held)], pa.int32()),
+                    _lists([np.zeros(0, np.int32), *(c.astype(np.int32) for _, c in held)], pa.int32()),
+                    pa.array([None, *(six_bytes(x & _LOW48).tobytes() for x in hashes)], pa.binary()),
+                    one(b.column(0), b.schema.field(0).type),
+                    one(b.column(1), pa.int64()),
+                ],
+                names=["part", "cls", "n", "lens", "blob", "doc_id", "h"],
+            )
+
+    return docs.mapInArrow(run, f"part int, cls array<long>, n array<int>, lens array<int>, blob binary, doc_id array<{docs.schema['doc_id'].dataType.simpleString()}>, h array<long>")
+
+
+def _all(column: pa.Array, kind: type) -> np.ndarray:
+    return np.asarray(column.flatten(), kind)
+
+
+def _shared(buckets: int):
+    """A partition holds whole fragments: documents pass, segments keep the n-grams that several classes hold, each with a byte that grows with
+    their number, in parcels by bucket of the class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            docs = b.filter(b.column(4).is_null())
+            if docs.num_rows:
+                yield pa.record_batch([docs.column(0), pa.nulls(docs.num_rows).cast(pa.int32()), *(docs.column(i) for i in range(1, 7))], names=_NAMES)
+            for i, p in enumerate(b.column(0).to_pylist()):
+                if b.column(4)[i].is_valid:
+                    held.setdefault(p, []).append((*(np.asarray(b.column(c)[i].values, np.int64) for c in (1, 2, 3)), b.column(4)[i].as_py()))
+        for p in list(held):
+            own = held.pop(p)
+            cls, n, lens = (np.concatenate([x[i] for x in own]) for i in range(3))
+            raw = np.frombuffer(b"".join(x[3] for x in own), np.uint8).reshape(-1, 6)
+            del own
+            first = np.zeros(len(cls), bool)
+            first[np.unique(cls, return_index=True)[1]] = True
+            h = from_six(raw[np.repeat(first, lens)])
+            del raw
+            cls, n, lens = cls[first], n[first], lens[first]
+            order = np.argsort(h)
+            s = h[order]
+            run_ = np.cumsum(np.concatenate([[True], s[1:] != s[:-1]])) - 1
+            df = np.empty(len(h), np.int32)
+            df[order] = np.bincount(run_)[run_]
+            del order, s, run_
+            keep = df > 1
+            by = np.argsort(cls % buckets, kind="stable")
+            place = np.empty(len(cls), np.int64)
+            place[by] = np.arange(len(cls))
+            at = place[np.repeat(np.arange(len(cls)), lens)[keep]]
+            h, df = h[keep], df[keep]
+            order = np.argsort(at, kind="stable")
+            h, df = h[order], df[order]
+            left = np.bincount(at, minlength=len(cls))
+            raw = np.empty((len(h), 7), np.uint8)
+            raw[:, :6] = six_bytes(h)
+            raw[:, 6] = np.minimum(255, 4 * np.log2(np.maximum(df, 1)))
+            cls, n = cls[by], n[by]
+            ends = np.cumsum(left)
+            some = left > 0
+            to, (c, m, k, start) = _rows((cls % buckets)[some], buckets, cls[some], n[some], left[some], (ends - left)[some])
+            if to:
+                blobs = [raw[x[0] : x[0] + y.sum()].tobytes() for x, y in zip(start, k, strict=True)]
+                none = pa.nulls(len(to))
+                yield pa.record_batch([pa.array([p] * len(to), pa.int32()), pa.array(to, pa.int32()), _lists(c, pa.int64()), _lists([x.astype(np.int32) for x in m], pa.int32()), _lists([x.astype(np.int32) for x in k], pa.int32()), pa.array(blobs, pa.binary()), none.cast(b.schema.field(5).type), none.cast(b.schema.field(6).type)], names=_NAMES)
+
+    return run
+
+
+_NAMES = ["part", "bucket", "cls", "n", "lens", "blob", "doc_id", "h"]
+
+
+def _sets(percent: int):
+    """A partition holds whole classes: those of which enough is shared, with their segments by fragment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[], [], [], [], []]
+        for b in batches:
+            lens = b.column(4)
+            got[0].append(np.repeat(np.asarray(b.column(0), np.int64), np.asarray(lens.value_lengths())))
+            for i, c in ((1, 2), (2, 3), (3, 4)):
+                got[i].append(_all(b.column(c), np.int64))
+            got[4] += b.column(5).to_pylist()
+        if not got[0]:
+            return
+        part, cls, n, lens = (np.concatenate(x) for x in got[:4])
+        raw = np.frombuffer(b"".join(got[4]), np.uint8).reshape(-1, 7)
+        del got
+        starts = np.cumsum(lens) - lens
+        own, first, which = np.unique(cls, return_index=True, return_inverse=True)
+        good = 100 * np.bincount(which, lens) >= percent * n[first]
+        order = np.lexsort((part, which))
+        order = order[good[which[order]]]
+        to, (at,) = _rows(which[order], len(own), order)
+        for a in range(0, len(to), 1000):
+            c, segs = to[a : a + 1000], at[a : a + 1000]
+            blobs = [raw[_ranges(starts[x], lens[x])].tobytes() for x in segs]
+            yield pa.record_batch([pa.array(own[c]), pa.array(n[first][c].astype(np.int32)), _lists([part[x].astype(np.int32) for x in segs], pa.int32()), _lists([lens[x].astype(np.int32) for x in segs], pa.int32()), pa.array(blobs, pa.binary())], names=["cls", "n", "parts", "lens", "blob"])
+
+    return run
 
 
 def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for c, n, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = np.frombuffer(b"".join(s["blob"] for s in segs), np.uint8).reshape(-1, 7)
-                part = np.repeat(np.array([s["part"] for s in segs], np.uint64), [len(s["blob"]) // 7 for s in segs])
-                key = part << np.uint64(48) | from_six(raw[:, :6])
+            for c, n, parts, lens, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
+                raw = np.frombuffer(blob, np.uint8).reshape(-1, 7)
+                key = np.repeat(np.asarray(parts.values).astype(np.uint64), np.asarray(lens.values)) << np.uint64(48) | from_six(raw[:, :6])
                 order = np.lexsort((key, raw[:, 6]))
                 alone = n - len(key)
                 take = n - -(-n * percent // 100) + 1 - alone
@@ -171,57 +232,105 @@ def _prefixes(percent: int):
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition holds whole fragments: their segments, and pairs of classes whose common n-grams are counted there."""
-    segs: dict[int, list] = {}
-    pairs: dict[int, list] = {}
+_PARCEL = "part int, a array<long>, b array<long>, x array<int>, y array<int>, blob binary"
+_PARCEL_NAMES = ["part", "a", "b", "x", "y", "blob"]
+
+
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of sets(cls, n, parts, lens, blob) in parcels by fragment: classes in a, lengths in x."""
     for b in batches:
-        blob = b.column(3)
-        for mask, to in ((blob.is_valid(), segs), (blob.is_null(), pairs)):
-            part = b.filter(mask)
-            p = np.asarray(part.column(0), np.int32)
-            for f in np.unique(p).tolist():
-                one = part.filter(pa.array(p == f))
-                to.setdefault(f, []).append((np.asarray(one.column(1), np.int64), np.asarray(one.column(2).fill_null(0), np.int64), one.column(3).to_pylist() if to is segs else None))
-    for f, asked in pairs.items():
-        if f not in segs:
-            continue
-        cls = np.concatenate([x[0] for x in segs[f]])
-        blobs = [y for x in segs[f] for y in x[2]]
-        order = np.argsort(cls)
-        cls, blobs = cls[order], [blobs[i] for i in order.tolist()]
-        lens = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 7
-        rank = np.unique(from_six(np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 7)[:, :6]), return_inverse=True)[1].astype(np.int64)
-        codes = (np.repeat(np.arange(len(cls)), lens) << 32) | rank
-        starts = np.concatenate([[0], np.cumsum(lens)])
-        codes = codes[np.lexsort((rank, codes >> 32))] if len(codes) else codes
-        ranks = codes & 0xFFFFFFFF
-        a, c = np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked])
-        ia, ic = np.minimum(np.searchsorted(cls, a), len(cls) - 1), np.minimum(np.searchsorted(cls, c), len(cls) - 1)
-        both = (cls[ia] == a) & (cls[ic] == c)
-        a, c, ia, ic = a[both], c[both], ia[both], ic[both]
-        for lo in range(0, len(a), 20_000):
-            x, y = ia[lo : lo + 20_000], ic[lo : lo + 20_000]
-            m = lens[x]
-            pair = np.repeat(np.arange(len(x)), m)
-            at = np.repeat(starts[x] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-            want = (y[pair] << 32) | ranks[at]
-            pos = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-            common = np.bincount(pair[codes[pos] == want], minlength=len(x))
-            some = common > 0
-            yield pa.record_batch([pa.array(a[lo : lo + 20_000][some]), pa.array(c[lo : lo + 20_000][some]), pa.array(common[some].astype(np.int64))], names=["a", "b", "common"])
+        part, lens = _all(b.column(2), np.int64), _all(b.column(3), np.int64)
+        cls = np.repeat(np.asarray(b.column(0), np.int64), np.asarray(b.column(2).value_lengths()))
+        raw = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, 7)
+        starts = np.cumsum(lens) - lens
+        order = np.argsort(part, kind="stable")
+        to, (at,) = _rows(part[order], 1 << 40, order)
+        none = pa.nulls(len(to))
+        yield pa.record_batch([pa.array(to, pa.int32()), _lists([cls[x] for x in at], pa.int64()), none.cast(pa.list_(pa.int64())), _lists([lens[x].astype(np.int32) for x in at], pa.int32()), none.cast(pa.list_(pa.int32())), pa.array([raw[_ranges(starts[x], lens[x])].tobytes() for x in at], pa.binary())], names=_PARCEL_NAMES)
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n_a, n_b, parts) in parcels by fragment, sizes in x and y."""
+    for b in batches:
+        part = _all(b.column(4), np.int64)
+        row = np.repeat(np.arange(b.num_rows), np.asarray(b.column(4).value_lengths()))
+        order = np.argsort(part, kind="stable")
+        cols = [np.asarray(b.column(i))[row[order]] for i in range(4)]
+        to, (p, q, x, y) = _rows(part[order], 1 << 40, *cols)
+        yield pa.record_batch([pa.array(to, pa.int32()), _lists(p, pa.int64()), _lists(q, pa.int64()), _lists(x, pa.int32()), _lists(y, pa.int32()), pa.nulls(len(to)).cast(pa.binary())], names=_PARCEL_NAMES)
+
+
+def _overlaps(buckets: int):
+    """A partition holds whole fragments: their segments, and pairs of classes whose common n-grams are counted there, in parcels by bucket of the pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segs: dict[int, list] = {}
+        pairs: dict[int, list] = {}
+        for b in batches:
+            for i, p in enumerate(b.column(0).to_pylist()):
+                blob = b.column(5)[i].as_py()
+                if blob is None:
+                    pairs.setdefault(p, []).append([np.asarray(b.column(c)[i].values, np.int64) for c in (1, 2, 3, 4)])
+                else:
+                    segs.setdefault(p, []).append((np.asarray(b.column(1)[i].values, np.int64), np.asarray(b.column(3)[i].values, np.int64), blob))
+        for p, asked in pairs.items():
+            if p not in segs:
+                continue
+            cls, lens = (np.concatenate([x[i] for x in segs[p]]) for i in (0, 1))
+            h = from_six(np.frombuffer(b"".join(x[2] for x in segs.pop(p)), np.uint8).reshape(-1, 7)[:, :6])
+            rank = np.unique(h, return_inverse=True)[1].astype(np.int64)
+            own = np.argsort(cls)
+            place = np.empty(len(cls), np.int64)
+            place[own] = np.arange(len(cls))
+            codes = np.sort(np.repeat(place, lens) << 32 | rank)
+            cls, lens = cls[own], lens[own]
+            starts = np.cumsum(lens) - lens
+            a, c, na, nc = (np.concatenate([x[i] for x in asked]) for i in range(4))
+            ia, ic = np.minimum(np.searchsorted(cls, a), len(cls) - 1), np.minimum(np.searchsorted(cls, c), len(cls) - 1)
+            both = np.flatnonzero((cls[ia] == a) & (cls[ic] == c))
+            for lo in range(0, len(both), 20_000):
+                i = both[lo : lo + 20_000]
+                x, y = ia[i], ic[i]
+                pair = np.repeat(np.arange(len(x)), lens[x])
+                want = y[pair] << 32 | codes[_ranges(starts[x], lens[x])] & 0xFFFFFFFF
+                pos = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+                common = np.bincount(pair[codes[pos] == want], minlength=len(x))
+                i, common = i[common > 0], common[common > 0]
+                bucket = ((a[i] ^ c[i]) >> 7) % buckets
+                order = np.argsort(bucket, kind="stable")
+                i = i[order]
+                to, cols = _rows(bucket[order], buckets, a[i], c[i], na[i], nc[i], common[order])
+                yield pa.record_batch([pa.array(to, pa.int32()), *(_lists(v, pa.int64()) for v in cols)], names=["bucket", "a", "b", "n_a", "n_b", "common"])
+
+    return run
+
+
+def _sums(percent: int):
+    """A partition holds all counts of its pairs: those similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[_all(b.column(i), np.int64) for i in range(1, 6)] for b in batches]
+        if not got:
+            return
+        a, b, na, nb, common = (np.concatenate([x[i] for x in got]) for i in range(5))
+        order = np.lexsort((b, a))
+        a, b, na, nb, common = a[order], b[order], na[order], nb[order], common[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        total = np.add.reduceat(common, first) if len(a) else common
+        good = first[100 * total >= percent * (na[first] + nb[first] - total)]
+        yield pa.record_batch([pa.array(a[good]), pa.array(b[good])], names=["u", "v"])
+
+    return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int, few: bool) -> DataFrame:
     """Of pairs(a, b, n_a, n_b), those similar enough. few: most sets are in no pair, so only those that are go to the fragments."""
-    segs = sets.select("cls", F.explode("segs").alias("s")).select(F.col("s.part").alias("part"), F.col("cls").alias("a"), F.lit(None).cast("long").alias("b"), F.col("s.blob").alias("blob"))
-    used = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    needed = segs.join(used, "a", "left_semi") if few else segs
-    reach = sets.select(F.col("cls").alias("a"), F.transform("segs", lambda s: s["part"]).alias("parts"))
-    asked = pairs.join(reach, "a").select(F.explode("parts").alias("part"), "a", "b", F.lit(None).cast("binary").alias("blob"))
-    met = needed.select("part", "a", "b", "blob").unionByName(asked).repartitionById(fragments, F.col("part")).mapInArrow(_overlaps, "a long, b long, common long")
-    total = met.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return pairs.join(total, ["a", "b"]).filter((100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common")))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    segs = (sets.join(used, "cls", "left_semi") if few else sets).select("cls", "n", "parts", "lens", "blob").mapInArrow(_send, _PARCEL)
+    reach = sets.select(F.col("cls").alias("a"), "parts")
+    asked = pairs.join(reach, "a").select("a", "b", "n_a", "n_b", "parts").mapInArrow(_ask, _PARCEL)
+    met = segs.unionByName(asked).repartitionById(fragments, F.col("part")).mapInArrow(_overlaps(fragments), "bucket int, a array<long>, b array<long>, n_a array<long>, n_b array<long>, common array<long>")
+    return met.repartitionById(fragments, F.col("bucket")).mapInArrow(_sums(percent), "u long, v long")
 
 
 def _alike(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -250,26 +359,32 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     fragments = max(spark.sparkContext.defaultParallelism, -(-all_bytes // FRAGMENT_BYTES))
     cut = _cut(own, fragments, n).repartitionById(fragments, F.col("part"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    dealt = table(cut.mapInArrow(_shared, f"part int, cls long, n int, doc_id {kind}, h long, k int, blob binary"))
-    rows = dealt.filter("part is null").select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+    dealt = table(cut.mapInArrow(_shared(fragments), f"part int, bucket int, cls array<long>, n array<int>, lens array<int>, blob binary, doc_id array<{kind}>, h array<long>"))
+    rows = dealt.filter("bucket is null").select(F.explode(F.arrays_zip("doc_id", "h", "n", "cls")).alias("d")).select("d.doc_id", "d.h", F.col("d.n").alias("n_shingles"), F.when(F.col("d.n") > 0, F.col("d.cls")).alias("cls"))
+    parcels = dealt.filter("bucket is not null").select("part", "bucket", "cls", "n", "lens", "blob")
+    sets = table(parcels.repartitionById(fragments, F.col("bucket")).mapInArrow(_sets(percent), "cls long, n int, parts array<int>, lens array<int>, blob binary"))
     small_batches(spark, 2_000)
-    sets = dealt.filter("part is not null").groupBy("cls").agg(F.max("n").alias("n"), F.sum("k").alias("m"), F.collect_list(F.struct("part", "blob")).alias("segs"))
-    sets = table(sets.filter(100 * F.col("m") >= percent * F.col("n")).select("cls", "n", "segs"))
     posts = table(sets.mapInArrow(_prefixes(percent), "key long, cls long, n int, at int"))
     links, tested, labels = None, None, None
-    for r in range(ROUNDS + 1):
+    for r in range(len(PIVOTS) + 1):
         now = posts if labels is None else posts.join(labels, posts.cls == labels.node, "left").drop("node")
-        now = now.withColumn("component", F.col("cls") if labels is None else F.coalesce("component", "cls"))
-        # sizes within a factor of 4/3 are in one band of this or the next round, or nearly so
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 0.5 * (r % 2)) if r < 2 else F.lit(0)
-        p = now.withColumn("band", band).alias("p")
-        several = p.groupBy("key", "band").agg(F.min(F.struct((F.col("cls") if r == 0 else F.xxhash64("cls", F.lit(r))).alias("turn"), "cls", "n", "at", "component")).alias("q"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1")
-        if r < ROUNDS:
-            met = p.join(several.select("key", "band", "q.*").alias("q"), ["key", "band"])
+        p = now.withColumn("component", F.col("cls") if labels is None else F.coalesce("component", "cls")).alias("p")
+        if r == 0:
+            # sizes within a factor of 4/3 share a band
+            band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
+            p = p.withColumn("band", band).alias("p")
+            first = p.groupBy("key", "band").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"), F.count("*").alias("held")).filter("held > 1")
+            met = p.join(first.select("key", "band", "q.*").alias("q"), ["key", "band"])
         else:
-            left = table(p.join(several.select("key", "band"), ["key", "band"], "left_semi"))
-            p, q = left.alias("p"), left.alias("q")
-            met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")))
+            held = p.groupBy("key", "component").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("component", "held").alias("most"), F.count("*").alias("apart")).filter("apart > 1")
+            left = table(p.join(held.select("key", "most"), "key"))
+            if r < len(PIVOTS):
+                bins = F.pmod(F.xxhash64("cls", "key", F.lit(r)), F.lit(PIVOTS[r]))
+                pivots = left.filter("component = most").withColumn("bin", bins).groupBy("key", "bin").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"))
+                met = left.filter("component != most").alias("p").join(pivots.select("key", "q.*").alias("q"), "key")
+            else:
+                p, q = left.alias("p"), left.alias("q")
+                met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")))
         shared = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))
         enough = shared * (100 + percent) >= percent * (F.col("p.n") + F.col("q.n"))
         pairs = met.filter((F.col("p.component") != F.col("q.component")) & _alike(F.col("p.n"), F.col("q.n"), percent) & enough).select(*_pair("p", "q")).distinct()

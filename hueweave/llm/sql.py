@@ -3,11 +3,11 @@
 ORACLE: dict[str, str] = {
     "op2_hamming_topk": """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> x > 0) AS code FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS code FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, len(list_filter(list_zip(q.code, c.code), z -> z[1] <> z[2])) AS distance
+  SELECT q.vec_id AS query_id, c.vec_id, len(list_filter(list_zip(q.code, c.code), lambda z: z[1] <> z[2])) AS distance
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS nth FROM d)
 SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, CAST(distance AS BIGINT) AS distance FROM r WHERE nth <= 10""",
