@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,13 +83,14 @@ def contexts(t: str, reach: int = 64) -> Iterator[tuple[int, str, int]]:
             yield entity, x, around
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, support: int = 5) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, support: int = 5, held_terms: int = 200_000) -> DataFrame:
     """term: those whose pointwise mutual information with a protected entity is at least `threshold` of the entity's information.
 
     Entities are the base values. n(e, t) counts different contexts of e that hold t, n(e) those of e, n(t) documents that
     hold t, all over the whole table; pairs of fewer than `support` contexts tell nothing (in a corpus, what stands once beside
     a value that stands once would seem to disclose it). Copies of a context count once. All counts are sums by key with
-    partial aggregation, so a frequent entity or term does not meet in one task."""
+    partial aggregation, so a frequent entity or term does not meet in one task. Documents are counted for terms of enough support: up to `held_terms` of them
+    by a set that all tasks hold, more by a join."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +106,22 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     if not n_terms:
         return empty
     alone = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
     wanted = pairs.select("term").distinct()
-    n_t = words.join(F.broadcast(wanted) if n_terms <= 100_000 else wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    if n_terms <= held_terms:
+        held = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
+
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: Counter = Counter()
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    found.update(held.value.intersection(_TERM.findall(t.lower())))
+            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
+        counts = texts.mapInArrow(hold, "term string, n long")
+    else:
+        words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
+        counts = words.join(wanted, "term", "left_semi").select("term", F.lit(1).alias("n"))
+    n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
     n = texts.count()
     x = pairs.join(alone, "entity").join(n_t, "term")
     pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))

@@ -22,6 +22,7 @@ NOT_SPACE = "\x1c\x1d\x1e\x1f"
 LONGEST = 48
 _TOKENIZERS: dict = {}
 _CACHES: dict = {}
+_ENDS: dict = {}
 
 
 def tokenizer(path: str):
@@ -37,42 +38,66 @@ def tokenizer(path: str):
 
 def ids_of(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian unsigned 32-bit ids of each text."""
-    return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def letters_ids(path: str, words: list[str]) -> list[bytes]:
+    """ids_of for words of letters alone: each is one piece and ends with a token that ends a word, so one text tells all."""
+    if path not in _ENDS:
+        vocabulary = tokenizer(path).get_vocab(True)
+        _ENDS[path] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _ENDS[path][[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    ids = np.asarray(tokenizer(path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    ends = (np.flatnonzero(_ENDS[path][ids]) + 1) * 4
+    if len(ends) != len(words):
+        return ids_of(path, words)
+    raw = ids.tobytes()
+    return [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 class Chunks:
-    """Values of chunks: the frequent table, then two generations of a cache, which bound its memory at 2 * keep entries."""
+    """Values of chunks. Known ones start with the frequent table and grow to `keep` entries, then start anew; so do the words within them.
+
+    A chunk that is a word of Latin letters, with a full stop or comma or none, is looked up by the word in lower case."""
 
     def __init__(self, path: str, frequent: dict, make, keep: int):
         self.path, self.frequent, self.make, self.keep = path, frequent, make, keep
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def look_up(self, words: list[str]) -> list:
-        got = list(map(self.frequent.get, words))
-        if None not in got:
-            return got
-        young, old, missing = self.young, self.old, {}
-        for i, v in enumerate(got):
-            if v is None:
-                w = words[i]
-                v = young.get(w)
+        self.known, self.words = dict(frequent), {}
+        self.tails = {"": make(b""), **{c: make(x) for c, x in zip(".,", ids_of(path, [".", ","]), strict=True)}}
+
+    def values(self, texts: list[str]) -> Iterator:
+        """The chunks' values of each text, in order; a text that holds NOT_SPACE has one, its own."""
+        split = [[t] if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
+        new = set().union(*split) - self.known.keys()
+        known, words, plain, other = self.known, self.words, {}, []
+        for w in new:
+            tail = w[-1] if w and w[-1] in ".," else ""
+            k = w[: len(w) - len(tail)].lower()
+            if k.isalpha() and max(k) < "\u0250":
+                v = words.get(k)
                 if v is None:
-                    v = old.get(w)
-                    if v is None:
-                        missing.setdefault(w, []).append(i)
-                        continue
-                    young[w] = v
-                got[i] = v
-        if missing:
-            for (w, at), v in zip(missing.items(), map(self.make, ids_of(self.path, list(missing))), strict=True):
-                for i in at:
-                    got[i] = v
-                if len(w) <= LONGEST:
-                    young[w] = v
-            if len(young) > self.keep:
-                self.old, self.young = young, {}
-        return got
+                    plain.setdefault(k, []).append((w, tail))
+                else:
+                    known[w] = v + self.tails[tail]
+            else:
+                other.append(w)
+        if plain:
+            for (k, at), v in zip(plain.items(), map(self.make, letters_ids(self.path, list(plain))), strict=True):
+                if len(k) <= LONGEST:
+                    words[k] = v
+                for w, tail in at:
+                    known[w] = v + self.tails[tail]
+        if other:
+            known.update(zip(other, map(self.make, ids_of(self.path, other)), strict=True))
+        for chunks in split:
+            yield map(known.__getitem__, chunks)
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        if len(known) > self.keep:
+            self.known = dict(self.frequent)
+        if len(words) > self.keep:
+            self.words = {}
 
 
 def _chunks(path: str, frequent, job: str, make, keep: int) -> Chunks:
@@ -104,7 +129,7 @@ def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 4_0
     return dict(zip(top, ids_of(path, top), strict=True)) if top else {}
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep: int = 300_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep: int = 600_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; null texts count as empty. No shuffle.
 
     Special strings inside a text are taken as the library takes them by default."""
@@ -115,12 +140,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks(path, frequent, job, count, keep)
         for b in batches:
-            n = []
-            for t in b.column(1).to_pylist():
-                if any(c in t for c in NOT_SPACE):
-                    n.append(count(ids_of(path, [t])[0]))
-                else:
-                    n.append(sum(chunks.look_up(t.split())))
+            n = [sum(v) for v in chunks.values(b.column(1).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = text_or_empty(F.col(text_col))
@@ -134,7 +154,7 @@ def binary_pieces(n: int, top: int) -> list[int]:
     return [top] * (n // top) + [1 << k for k in range(top.bit_length() - 1, -1, -1) if n % top >> k & 1]
 
 
-def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096, keep: int = 200_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096, keep: int = 600_000, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset (and ids, as bytes).
 
     A document, with end_id at its end, is cut at falling powers of two; each piece is a sequence of its own, whose
@@ -150,8 +170,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         chunks = _chunks(path, frequent, job, same, keep)
         for b in batches:
             row, start, length, crc, tokens, held = [], [], [], [], [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
-                ids = (ids_of(path, [t])[0] if any(c in t for c in NOT_SPACE) else b"".join(chunks.look_up(t.split()))) + end
+            for k, v in enumerate(chunks.values(b.column(1).to_pylist())):
+                ids = b"".join(v) + end
                 at = 0
                 for m in binary_pieces(n := len(ids) >> 2, top):
                     piece = ids[at * 4 : (at + m) * 4]
