@@ -8,6 +8,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,13 @@ from hueweave.llm.common import small_batches, text_or_empty
 
 #: Characters at which str.split cuts but the tokenizer does not; texts that hold one are encoded whole.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: After a word, one of these is a piece of its own.
+MARKS = frozenset(".,;:!?")
 #: Longer chunks are encoded but never kept.
 LONGEST = 48
 _TOKENIZERS: dict = {}
 _CACHES: dict = {}
-_ENDS: dict = {}
+_BARE: dict = {}
 
 
 def tokenizer(path: str):
@@ -41,52 +44,67 @@ def ids_of(path: str, texts: list[str]) -> list[bytes]:
     return [np.asarray(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def letters_ids(path: str, words: list[str]) -> list[bytes]:
-    """ids_of for words of letters alone: each is one piece and ends with a token that ends a word, so one text tells all."""
-    if path not in _ENDS:
+def _bare(path: str):
+    """The tokenizer's model alone on white-space pieces, the characters that stand for bytes, and which ids end a piece.
+
+    Printable bytes stand for themselves, the others for characters from 256 on; a space stays."""
+    if path not in _BARE:
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        bare = Tokenizer(tokenizer(path).model)
+        bare.pre_tokenizer = WhitespaceSplit()
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        chars = {b: chr(256 + i) for i, b in enumerate(odd) if b != 32}
         vocabulary = tokenizer(path).get_vocab(True)
-        _ENDS[path] = np.zeros(max(vocabulary.values()) + 1, bool)
-        _ENDS[path][[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-    ids = np.asarray(tokenizer(path).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-    ends = (np.flatnonzero(_ENDS[path][ids]) + 1) * 4
-    if len(ends) != len(words):
-        return ids_of(path, words)
-    raw = ids.tobytes()
-    return [raw[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        _BARE[path] = bare, chars, ends
+    return _BARE[path]
 
 
-class Chunks:
-    """Values of chunks. Known ones start with the frequent table and grow to `keep` entries, then start anew; so do the words within them.
+def simple_ids(path: str, words: list[str], pieces: list[int]) -> list[bytes]:
+    """ids_of for words of letters, with a space before a mark at the end: each has so many pieces.
 
-    A chunk that is a word of Latin letters, with a full stop or comma or none, is looked up by the word in lower case."""
+    Letters need no cutting, so normal form, lower case and bytes are done for all at once, and the model is asked directly.
+    A piece's last token, and no other, ends a word, which tells the words apart. Letters whose lower case is not one letter, or depends on the place, and texts that
+    are not in normal form go the long way."""
+    text = " ".join(words)
+    bare, chars, ends = _bare(path)
+    if is_normalized("NFC", text) and not any(c in text for c in "\u0130\u03a3"):
+        ids = np.asarray(bare.encode_batch_fast([text.lower().encode().decode("latin-1").translate(chars)], add_special_tokens=False)[0].ids, "<u4")
+        at, last = np.flatnonzero(ends[ids]), np.cumsum(pieces)
+        if len(at) == last[-1]:
+            cuts, raw = ((at[last - 1] + 1) * 4).tolist(), ids.tobytes()
+            return [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+    return ids_of(path, words)
+
+
+class Chunks:
+    """Values of chunks. Known ones start with the frequent table and grow to `keep` entries, then start anew."""
 
     def __init__(self, path: str, frequent: dict, make, keep: int):
         self.path, self.frequent, self.make, self.keep = path, frequent, make, keep
-        self.known, self.words = dict(frequent), {}
-        self.tails = {"": make(b""), **{c: make(x) for c, x in zip(".,", ids_of(path, [".", ","]), strict=True)}}
+        self.known = dict(frequent)
 
     def values(self, texts: list[str]) -> Iterator:
         """The chunks' values of each text, in order; a text that holds NOT_SPACE has one, its own."""
         split = [[t] if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        new = set().union(*split) - self.known.keys()
-        known, words, plain, other = self.known, self.words, {}, []
+        new = set().union(*split).difference(self.known)
+        known, simple, spaced, pieces, other = self.known, [], {}, [], []
         for w in new:
-            tail = w[-1] if w and w[-1] in ".," else ""
-            k = w[: len(w) - len(tail)].lower()
-            if k.isalpha() and max(k) < "\u0250":
-                v = words.get(k)
-                if v is None:
-                    plain.setdefault(k, []).append((w, tail))
-                else:
-                    known[w] = v + self.tails[tail]
+            if w.isalpha():
+                simple.append(w)
+                pieces.append(1)
+            elif w[-1:] in MARKS and w[:-1].isalpha():
+                simple.append(w)
+                spaced[len(simple) - 1] = f"{w[:-1]} {w[-1]}"
+                pieces.append(2)
             else:
                 other.append(w)
-        if plain:
-            for (k, at), v in zip(plain.items(), map(self.make, letters_ids(self.path, list(plain))), strict=True):
-                if len(k) <= LONGEST:
-                    words[k] = v
-                for w, tail in at:
-                    known[w] = v + self.tails[tail]
+        if simple:
+            words = [spaced.get(i, w) for i, w in enumerate(simple)]
+            known.update(zip(simple, map(self.make, simple_ids(self.path, words, pieces)), strict=True))
         if other:
             known.update(zip(other, map(self.make, ids_of(self.path, other)), strict=True))
         for chunks in split:
@@ -96,8 +114,6 @@ class Chunks:
                 del known[w]
         if len(known) > self.keep:
             self.known = dict(self.frequent)
-        if len(words) > self.keep:
-            self.words = {}
 
 
 def _chunks(path: str, frequent, job: str, make, keep: int) -> Chunks:
@@ -129,7 +145,7 @@ def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 4_0
     return dict(zip(top, ids_of(path, top), strict=True)) if top else {}
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep: int = 600_000) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep: int = 1_000_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row; null texts count as empty. No shuffle.
 
     Special strings inside a text are taken as the library takes them by default."""
@@ -154,7 +170,7 @@ def binary_pieces(n: int, top: int) -> list[int]:
     return [top] * (n // top) + [1 << k for k in range(top.bit_length() - 1, -1, -1) if n % top >> k & 1]
 
 
-def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096, keep: int = 600_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096, keep: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset (and ids, as bytes).
 
     A document, with end_id at its end, is cut at falling powers of two; each piece is a sequence of its own, whose
