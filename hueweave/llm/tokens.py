@@ -7,6 +7,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -134,14 +135,13 @@ def same(ids: bytes) -> bytes:
     return ids
 
 
-def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 4_000, entries: int = 1 << 16) -> dict[str, bytes]:
-    """Ids of the most frequent chunks of `sample` documents: at most `entries`, each of LONGEST characters at most.
+def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 4_000, of_each: int = 250, entries: int = 1 << 16) -> dict[str, bytes]:
+    """Ids of the most frequent chunks among the first of_each of `sample` documents: at most `entries`, each of LONGEST characters at most.
 
-    The table only saves time: results do not depend on what is in it."""
-    texts = docs.select(F.col(text_col).alias("t")).filter("t is not null").limit(sample)
-    words = texts.select(F.explode(F.split("t", r"\s+")).alias("w")).filter((F.length("w") > 0) & (F.length("w") <= LONGEST))
-    top = [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(entries).collect()]
-    top = [w for w in top if w.split() == [w]]
+    The table only saves time: results do not depend on what is in it, so a few documents of the first partitions will do."""
+    chunks = F.slice(F.filter(F.split(text_or_empty(F.col(text_col)), r"\s+"), lambda w: F.length(w).between(1, LONGEST)), 1, of_each)
+    found = Counter(w for r in docs.select(chunks.alias("w")).take(sample) for w in r.w)
+    top = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:entries] if w.split() == [w]]
     return dict(zip(top, ids_of(path, top), strict=True)) if top else {}
 
 
