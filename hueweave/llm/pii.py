@@ -21,7 +21,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"\b[^\W\d_]{3,}\b")
 
 
 def luhn(digits: str) -> bool:
@@ -119,7 +119,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
 
         counts = texts.mapInArrow(hold, "term string, n long")
     else:
-        words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("term"))
+        words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{M}\p{N}_])\p{L}{3,}(?![\p{L}\p{M}\p{N}_])"), F.lit(0)))).alias("term"))
         counts = words.join(wanted, "term", "left_semi").select("term", F.lit(1).alias("n"))
     n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
     n = texts.count()

@@ -48,9 +48,9 @@ def templates(paths: DataFrame, depth: int = 4, min_children: int = 24, min_spre
 
     Level by level, a node's children are generalised to * where there are min_children of them and min_spread times
     as many as visits, which is how ids and slugs differ from sections; segments beyond `depth` are one **. Sibling
-    templates that differ in one literal then merge, where the share of bad labels of a branch is within similar_z
-    standard errors of that of all siblings together; other branches stay apart. Nothing is kept per host in one
-    task: each level is two aggregations and a join on (host, node)."""
+    templates that differ in one literal then merge: branches whose share of bad labels is within similar_z standard
+    errors of that of all siblings together, and of the others those of one fifth of the scale (named with #); branches without labels stay
+    apart. Nothing is kept per host in one task: each level is two aggregations and a join on (host, node)."""
     segs = F.when(F.size("segs") > depth, F.concat(F.slice("segs", 1, depth), F.array(F.lit("**")))).otherwise(F.col("segs"))
     p = paths.withColumns({"tree": segs, "node": F.lit("")})
     for level in range(depth):
@@ -65,13 +65,15 @@ def templates(paths: DataFrame, depth: int = 4, min_children: int = 24, min_spre
     stem = F.regexp_replace("template", r"/[^/*{]+((?:/(?:\*\*?|\{[^/]*))*)$", r"/*$1")
     own = own.withColumn("stem", stem)
     all_ = own.groupBy("host", "stem").agg(F.sum("labelled").alias("s_labelled"), F.sum("bad").alias("s_bad"))
-    rate = F.try_divide("s_bad", "s_labelled")
+    rate, own_rate = F.try_divide("s_bad", "s_labelled"), F.try_divide("bad", "labelled")
     error = F.sqrt(F.try_divide(rate * (1 - rate), F.col("labelled")))
-    alike = (F.col("labelled") > 0) & (F.abs(F.try_divide("bad", "labelled") - rate) <= similar_z * error + 1e-9)
-    merged = own.join(all_, ["host", "stem"]).withColumn("merged", F.when(alike, F.col("stem")).otherwise(F.col("template")))
-    groups = merged.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    named = merged.select("host", "template", "merged").join(groups, ["host", "merged"]).withColumnRenamed("template", "node")
-    return p.drop("labelled", "bad").join(named, ["host", "node"]).select("host", "segs", F.col("merged").alias("template"), "labelled", "bad")
+    alike = F.abs(own_rate - rate) <= similar_z * error + 1e-9
+    band = F.concat(F.col("stem"), F.lit("#"), F.round(own_rate * 5).cast("int").cast("string"))
+    merged = own.join(all_, ["host", "stem"]).withColumn("merged", F.when(alike, F.col("stem")).otherwise(F.coalesce(band, "template")))
+    groups = merged.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("branches"))
+    named = merged.select("host", F.col("template").alias("node"), "merged").join(groups, ["host", "merged"])
+    named = named.withColumn("template", F.when(F.col("branches") == 1, F.col("node")).otherwise(F.col("merged")))
+    return p.drop("labelled", "bad").join(named, ["host", "node"]).select("host", "segs", "template", "labelled", "bad")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label: Column | None = None, min_labelled: int = 5, prior: float = 0.1, weight: float = 4.0, reject: float = 0.8, **tree) -> DataFrame:
