@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,23 @@ def text_or_empty(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+_HELD: dict = {}
+
+
+def release() -> None:
+    """Freed memory of a worker goes back to the machine, where the allocators can give it back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def held(key: object, make: Callable):
+    """What a worker process keeps from task to task under a key. Workers outlive operators, so one operator's keepings make way for the next's."""
+    if key not in _HELD:
+        _HELD.clear()
+        release()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import small_batches, table, text_or_empty
+from hueweave.llm.common import held, release, small_batches, table, text_or_empty
 from hueweave.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
-#: Bytes of text of a fragment: some six million n-grams.
-FRAGMENT_BYTES = 32 << 20
+#: Bytes of text of a fragment: some four million n-grams.
+FRAGMENT_BYTES = 20 << 20
 #: Pivots of an n-gram in each round, before the pairs that are left are taken one by one. In the first the pivot of a group of near copies is the
 #: same for all its n-grams, which makes the group one star; later the sets outside the component that most sets of an n-gram lie in are
 #: held against so many of that component.
@@ -39,21 +39,18 @@ class Words(dict):
         return h
 
 
-_WORDS = Words()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, n: int = 5) -> np.ndarray:
+def shingles(text: str, n: int = 5, hashes: Words | None = None) -> np.ndarray:
     """Sorted hashes of the distinct n-word shingles, A-Z in lower case; of fewer words, one of all; of none, none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((Words() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
     g = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -93,7 +90,8 @@ def _cut(docs: DataFrame, fragments: int, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, n) for t in b.column(2).to_pylist()]
+            hashes = held("shingles", Words)
+            sets = [shingles(t, n, hashes) for t in b.column(2).to_pylist()]
             cls = np.array([int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) for g in sets], np.int64)
             sizes = np.array([len(g) for g in sets], np.int32)
             once = np.sort(np.unique(cls, return_index=True)[1])
@@ -102,16 +100,16 @@ def _cut(docs: DataFrame, fragments: int, n: int) -> DataFrame:
             f = ((g >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(f, kind="stable")
             parts, (hashes, owners) = _rows(f[order], fragments, g[order], owner[order])
-            held = [np.unique(o, return_counts=True) for o in owners]
+            runs = [np.unique(o, return_counts=True) for o in owners]
             k = len(parts)
             one = lambda x, kind: pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind)), pa.nulls(k).cast(pa.list_(kind))])
             first = int(cls[0]) % fragments if len(cls) else 0
             yield pa.record_batch(
                 [
                     pa.array([first, *parts], pa.int32()),
-                    _lists([cls, *(cls[o] for o, _ in held)], pa.int64()),
-                    _lists([sizes, *(sizes[o] for o, _ in held)], pa.int32()),
-                    _lists([np.zeros(0, np.int32), *(c.astype(np.int32) for _, c in held)], pa.int32()),
+                    _lists([cls, *(cls[o] for o, _ in runs)], pa.int64()),
+                    _lists([sizes, *(sizes[o] for o, _ in runs)], pa.int32()),
+                    _lists([np.zeros(0, np.int32), *(c.astype(np.int32) for _, c in runs)], pa.int32()),
                     pa.array([None, *(six_bytes(x & _LOW48).tobytes() for x in hashes)], pa.binary()),
                     one(b.column(0), b.schema.field(0).type),
                     one(b.column(1), pa.int64()),
@@ -131,16 +129,17 @@ def _shared(buckets: int):
     their number, in parcels by bucket of the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held("fragments", dict)
+        mine: dict[int, list] = {}
         for b in batches:
             docs = b.filter(b.column(4).is_null())
             if docs.num_rows:
                 yield pa.record_batch([docs.column(0), pa.nulls(docs.num_rows).cast(pa.int32()), *(docs.column(i) for i in range(1, 7))], names=_NAMES)
             for i, p in enumerate(b.column(0).to_pylist()):
                 if b.column(4)[i].is_valid:
-                    held.setdefault(p, []).append((*(np.asarray(b.column(c)[i].values, np.int64) for c in (1, 2, 3)), b.column(4)[i].as_py()))
-        for p in list(held):
-            own = held.pop(p)
+                    mine.setdefault(p, []).append((*(np.asarray(b.column(c)[i].values, np.int64) for c in (1, 2, 3)), b.column(4)[i].as_py()))
+        for p in list(mine):
+            own = mine.pop(p)
             cls, n, lens = (np.concatenate([x[i] for x in own]) for i in range(3))
             raw = np.frombuffer(b"".join(x[3] for x in own), np.uint8).reshape(-1, 6)
             del own
@@ -175,6 +174,7 @@ def _shared(buckets: int):
                 blobs = [raw[x[0] : x[0] + y.sum()].tobytes() for x, y in zip(start, k, strict=True)]
                 none = pa.nulls(len(to))
                 yield pa.record_batch([pa.array([p] * len(to), pa.int32()), pa.array(to, pa.int32()), _lists(c, pa.int64()), _lists([x.astype(np.int32) for x in m], pa.int32()), _lists([x.astype(np.int32) for x in k], pa.int32()), pa.array(blobs, pa.binary()), none.cast(b.schema.field(5).type), none.cast(b.schema.field(6).type)], names=_NAMES)
+        release()
 
     return run
 
@@ -376,8 +376,8 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
             first = p.groupBy("key", "band").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"), F.count("*").alias("held")).filter("held > 1")
             met = p.join(first.select("key", "band", "q.*").alias("q"), ["key", "band"])
         else:
-            held = p.groupBy("key", "component").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("component", "held").alias("most"), F.count("*").alias("apart")).filter("apart > 1")
-            left = table(p.join(held.select("key", "most"), "key"))
+            apart = p.groupBy("key", "component").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("component", "held").alias("most"), F.count("*").alias("apart")).filter("apart > 1")
+            left = table(p.join(apart.select("key", "most"), "key"))
             if r < len(PIVOTS):
                 bins = F.pmod(F.xxhash64("cls", "key", F.lit(r)), F.lit(PIVOTS[r]))
                 pivots = left.filter("component = most").withColumn("bin", bins).groupBy("key", "bin").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"))

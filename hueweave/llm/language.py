@@ -13,12 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import small_batches
+from hueweave.llm.common import held, small_batches
 
 #: Longest context, in bytes. Contexts end at the space before a word.
 ORDER = 4
 _LETTER = re.compile(r"[^\W\d_]")
-_STATE: dict = {}
 
 
 def tree(words: Counter, order: int = ORDER) -> dict[bytes, dict[int, int]]:
@@ -134,13 +133,10 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spark = docs.sparkSession
     small_batches(spark)
     langs, trees = learn(docs, id_col, text_col, lang_col) if model is None else model
-    held, job, keep = spark.sparkContext.broadcast(trees), uuid.uuid4().hex, keep or []
+    shared, job, keep = spark.sparkContext.broadcast(trees), uuid.uuid4().hex, keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if job not in _STATE:
-            _STATE.clear()
-            _STATE[job] = Scorer(held.value)
-        scorer = _STATE[job]
+        scorer = held(job, lambda: Scorer(shared.value))
         for b in batches:
             pred, score = [], []
             for t in b.column(2).to_pylist():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import small_batches, text_or_empty
+from hueweave.llm.common import held, release, small_batches, text_or_empty
 
 #: Characters at which str.split cuts but the tokenizer does not; texts that hold one are encoded whole.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -25,7 +25,6 @@ MARKS = frozenset(".,;:!?")
 #: Longer chunks are encoded but never kept.
 LONGEST = 48
 _TOKENIZERS: dict = {}
-_CACHES: dict = {}
 _BARE: dict = {}
 
 
@@ -120,11 +119,7 @@ class Chunks:
 def _chunks(path: str, frequent, job: str, make, keep: int) -> Chunks:
     """One cache for each worker process and job; workers are reused from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = (path, make.__name__, job)
-    if key not in _CACHES:
-        _CACHES.clear()
-        _CACHES[key] = Chunks(path, {w: make(b) for w, b in frequent.value.items()}, make, keep)
-    return _CACHES[key]
+    return held((path, make.__name__, job), lambda: Chunks(path, {w: make(b) for w, b in frequent.value.items()}, make, keep))
 
 
 def count(ids: bytes) -> int:
@@ -135,14 +130,17 @@ def same(ids: bytes) -> bytes:
     return ids
 
 
-def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 4_000, of_each: int = 250, entries: int = 1 << 16) -> dict[str, bytes]:
+def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 1_500, of_each: int = 250, entries: int = 1 << 16) -> dict[str, bytes]:
     """Ids of the most frequent chunks among the first of_each of `sample` documents: at most `entries`, each of LONGEST characters at most.
 
     The table only saves time: results do not depend on what is in it, so a few documents of the first partitions will do."""
     chunks = F.slice(F.filter(F.split(text_or_empty(F.col(text_col)), r"\s+"), lambda w: F.length(w).between(1, LONGEST)), 1, of_each)
-    found = Counter(w for r in docs.select(chunks.alias("w")).take(sample) for w in r.w)
-    top = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:entries] if w.split() == [w]]
-    return dict(zip(top, ids_of(path, top), strict=True)) if top else {}
+    found = Counter(w for r in docs.select(F.array_join(chunks, " ").alias("w")).take(sample) for w in r.w.split())
+    top = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:entries]]
+    out = dict(zip(top, ids_of(path, top), strict=True)) if top else {}
+    _TOKENIZERS.pop(path, None)  # the driver needs it no more
+    release()
+    return out
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, keep: int = 1_000_000) -> DataFrame:
@@ -170,7 +168,7 @@ def binary_pieces(n: int, top: int) -> list[int]:
     return [top] * (n // top) + [1 << k for k in range(top.bit_length() - 1, -1, -1) if n % top >> k & 1]
 
 
-def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096, keep: int = 1_000_000, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, top: int = 4096, keep: int = 700_000, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket, sequence_id, offset (and ids, as bytes).
 
     A document, with end_id at its end, is cut at falling powers of two; each piece is a sequence of its own, whose
