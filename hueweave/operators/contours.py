@@ -1,4 +1,4 @@
-"""Work within one image: the whole reduction, boundary loops, label places and SVG. An image is one group."""
+"""Work within one image: the whole reduction, boundary loops and label places. An image is one group."""
 
 from __future__ import annotations
 
@@ -10,14 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hueweave.operators.borders import Steps, area, grid
 from hueweave.operators.regions import label
 from hueweave.settings import Settings
 
-#: Directions: west, south, east, north, with their steps.
-WEST, SOUTH, EAST, NORTH = range(4)
-TURNS = {WEST: (SOUTH, WEST, NORTH), NORTH: (WEST, NORTH, EAST), EAST: (NORTH, EAST, SOUTH), SOUTH: (EAST, SOUTH, WEST)}
-
-
 def _graph(ids: np.ndarray) -> list[list[int]]:
     """Sorted neighbours of each facet."""
     pairs = np.concatenate([np.stack([ids[:, 1:].ravel(), ids[:, :-1].ravel()], 1), np.stack([ids[1:].ravel(), ids[:-1].ravel()], 1)])
@@ -96,79 +92,40 @@ def reduce_grid(grid: np.ndarray, palette: np.ndarray, s: Settings) -> np.ndarra
         grid = new
 
 
-def _grid(px: pd.DataFrame, value: str) -> np.ndarray:
-    grid = np.full((px["y"].max() + 1, px["x"].max() + 1), -1, np.int64)
-    grid[px["y"].to_numpy(), px["x"].to_numpy()] = px[value].to_numpy()
-    return grid
-
-
 def reduced(index: DataFrame, palette: DataFrame, s: Settings) -> DataFrame:
     """image_id, x, y, color_index after reduction; palette(image_id, color_index, r, g, b)."""
 
     def run(px: pd.DataFrame, colours: pd.DataFrame) -> pd.DataFrame:
         table = np.zeros((int(px["color_index"].max()) + 1 if len(px) else 1, 3), np.int64)
-        own = colours[colours["color_index"] < len(table)]
-        table[own["color_index"].to_numpy()] = own[["r", "g", "b"]].to_numpy()
+        used = colours[colours["color_index"] < len(table)]
+        table[used["color_index"].to_numpy()] = used[["r", "g", "b"]].to_numpy()
         if len(px):
-            grid = _grid(px, "color_index")
-            if (grid >= 0).all():
-                px = px.assign(color_index=reduce_grid(grid, table, s)[px["y"].to_numpy(), px["x"].to_numpy()])
+            own = grid(px, "color_index")
+            if (own >= 0).all():
+                px = px.assign(color_index=reduce_grid(own, table, s)[px["y"].to_numpy(), px["x"].to_numpy()])
             else:  # a canvas whose last row is not full: what is missing is a facet that stays
                 table = np.concatenate([table, [[0, 0, 0]]])
-                size = int((grid < 0).sum())
-                full = np.where(grid < 0, len(table) - 1, grid)
+                size = int((own < 0).sum())
+                full = np.where(own < 0, len(table) - 1, own)
                 px = px.assign(color_index=reduce_grid(full, table, s)[px["y"].to_numpy(), px["x"].to_numpy()] if size >= s.remove_facets_smaller_than else px["color_index"])
         return px
 
-    cols = index.select("image_id", "x", "y", "color_index")
-    return cols.groupBy("image_id").cogroup(palette.select("image_id", "color_index", "r", "g", "b").groupBy("image_id")).applyInPandas(run, "image_id long, x int, y int, color_index int")
-
-
-def trace(ids: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Loops (facet, corners in order) of unit steps with the facet on the left; at a corner that two areas touch, the first turn in TURNS is taken.
-
-    A loop starts at its topmost, then leftmost corner."""
-    h, w = ids.shape
-    pad = np.full((h + 2, w + 2), -2, np.int64)
-    pad[1:-1, 1:-1] = ids
-    steps: dict[int, dict[tuple[int, int], list[int]]] = {}
-    for direction, (dy, dx), (sy, sx) in ((WEST, (-1, 0), (0, 1)), (SOUTH, (0, -1), (0, 0)), (EAST, (1, 0), (1, 0)), (NORTH, (0, 1), (1, 1))):
-        other = pad[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx]
-        for y, x in zip(*(a.tolist() for a in np.nonzero((other != ids) & (ids >= 0))), strict=True):
-            steps.setdefault(int(ids[y, x]), {}).setdefault((y + sy, x + sx), []).append(direction)
-    move = {WEST: (0, -1), SOUTH: (1, 0), EAST: (0, 1), NORTH: (-1, 0)}
-    out = []
-    for facet in sorted(steps):
-        left = steps[facet]
-        for start in sorted(left):
-            while left.get(start):
-                at, d, points = start, left[start][0], []
-                while True:
-                    left[at].remove(d)
-                    points.append((at[1], at[0]))
-                    at = (at[0] + move[d][0], at[1] + move[d][1])
-                    if at == start or not left.get(at):
-                        break
-                    d = next((t for t in TURNS[d] if t in left[at]), left[at][0])
-                out.append((facet, points))
-    return out
-
-
-def area(points: list[tuple[float, float]]) -> float:
-    """Half the sum of cross products; outer loops are negative as y grows downwards."""
-    p = np.asarray(points, np.float64)
-    q = np.roll(p, -1, axis=0)
-    return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
+    # both sides may stem from one plan, so their columns get names of their own
+    cols = index.select(*[F.col(c).alias(f"px_{c}") for c in ("image_id", "x", "y", "color_index")])
+    own = palette.select(*[F.col(c).alias(f"pal_{c}") for c in ("image_id", "color_index", "r", "g", "b")])
+    plain = lambda df: df.rename(columns=lambda c: c.split("_", 1)[1])
+    return cols.groupBy("px_image_id").cogroup(own.groupBy("pal_image_id")).applyInPandas(lambda a, b: run(plain(a), plain(b)), "image_id long, x int, y int, color_index int")
 
 
 def loops(facets: DataFrame) -> DataFrame:
-    """image_id, facet_id, loop_id, signed_area, is_outer, xs, ys: loops of each facet, the largest first, which is the outer one."""
+    """image_id, facet_id, loop_id, signed_area, is_outer, xs, ys: unsmoothed loops of each facet, the largest first, which is the outer one."""
 
     def run(px: pd.DataFrame) -> pd.DataFrame:
-        traced: dict[int, list] = {}
-        for f, p in trace(_grid(px, "facet_id")):
-            traced.setdefault(f, []).append((area(p), p))
-        rows = [(px["image_id"].iloc[0], f, i, a, i == 0, [x for x, _ in p], [y for _, y in p]) for f, all_ in traced.items() for i, (a, p) in enumerate(sorted(all_, key=lambda t: -abs(t[0])))]
+        steps, traced = Steps(grid(px, "facet_id")), {}
+        for p in steps.loops():
+            line = steps.corners(p)
+            traced.setdefault(int(steps.facet[p[0]]), []).append((area(line), line[:-1].astype(int)))
+        rows = [(px["image_id"].iloc[0], f, i, a, i == 0, p[:, 0], p[:, 1]) for f, all_ in traced.items() for i, (a, p) in enumerate(sorted(all_, key=lambda t: -abs(t[0])))]
         return pd.DataFrame(rows, columns=["image_id", "facet_id", "loop_id", "signed_area", "is_outer", "xs", "ys"])
 
     cols = facets.select("image_id", "x", "y", "facet_id")
@@ -214,7 +171,8 @@ def inmost(rings: list[np.ndarray], precision: float = 1.0) -> tuple[float, floa
 
 
 def labels(loops_: DataFrame, stats: DataFrame) -> DataFrame:
-    """image_id, facet_id, min_x, min_y, width, height: a box about the inmost point, within the facet's bounds."""
+    """image_id, facet_id, min_x, min_y, width, height: a box about the inmost point, within the facet's bounds;
+    the bounds themselves for facets without loops."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -223,22 +181,12 @@ def labels(loops_: DataFrame, stats: DataFrame) -> DataFrame:
             out.append((own["image_id"].iloc[0], f, *inmost(rings)))
         return pd.DataFrame(out, columns=["image_id", "facet_id", "px", "py", "d"])
 
-    at = loops_.groupBy("image_id").applyInPandas(run, "image_id long, facet_id int, px double, py double, d double")
+    at = loops_.select("image_id", "facet_id", "loop_id", "xs", "ys").groupBy("image_id").applyInPandas(run, "image_id long, facet_id int, px double, py double, d double")
     reach = F.greatest(F.col("d") / F.sqrt(F.lit(2.0)), F.lit(0.5))
-    clamp = lambda v, lo, hi: F.greatest(F.col(lo), F.least(v, F.col(hi) + 1))
-    b = at.join(stats, ["image_id", "facet_id"]).select("image_id", "facet_id", clamp(F.floor(F.col("px") - reach), "min_x", "max_x").alias("x0"), clamp(F.ceil(F.col("px") + reach), "min_x", "max_x").alias("x1"), clamp(F.floor(F.col("py") - reach), "min_y", "max_y").alias("y0"), clamp(F.ceil(F.col("py") + reach), "min_y", "max_y").alias("y1"))
-    return b.select("image_id", "facet_id", F.col("x0").cast("int").alias("min_x"), F.col("y0").cast("int").alias("min_y"), F.greatest(F.lit(1), F.col("x1") - F.col("x0")).cast("int").alias("width"), F.greatest(F.lit(1), F.col("y1") - F.col("y0")).cast("int").alias("height"))
-
-
-def svg(loops_: DataFrame, stats: DataFrame, palette: DataFrame) -> DataFrame:
-    """image_id, svg: one even-odd path for each facet, in the order of ids."""
-    points = F.arrays_zip("xs", "ys")
-    line = F.transform(points, lambda p, i: F.concat(F.when(i == 0, "M ").otherwise("L "), p["xs"].cast("string"), F.lit(" "), p["ys"].cast("string")))
-    path = loops_.select("image_id", "facet_id", "loop_id", F.concat(F.concat_ws(" ", line), F.lit(" Z")).alias("d"))
-    d = path.groupBy("image_id", "facet_id").agg(F.array_sort(F.collect_list(F.struct("loop_id", "d"))).alias("parts")).withColumn("d", F.array_join(F.transform("parts", lambda p: p["d"]), " "))
-    one = d.join(stats.select("image_id", "facet_id", "color_index"), ["image_id", "facet_id"]).join(palette, ["image_id", "color_index"])
-    tag = F.format_string('<path fill-rule="evenodd" fill="rgb(%d,%d,%d)" d="%s"/>', "r", "g", "b", "d")
-    size = stats.groupBy("image_id").agg((F.max("max_x") + 1).alias("w"), (F.max("max_y") + 1).alias("h"))
-    all_ = one.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("facet_id", tag.alias("t")))).alias("tags")).join(size, "image_id")
-    head = F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%d" height="%d" viewBox="0 0 %d %d">', "w", "h", "w", "h")
-    return all_.select("image_id", F.concat(head, F.array_join(F.transform("tags", lambda t: t["t"]), ""), F.lit("</svg>")).alias("svg"))
+    within = lambda v, lo, hi: F.greatest(lo, F.least(v, hi)).cast("int")
+    box = {}
+    for c in "xy":
+        lo, hi, at_c = F.col(f"min_{c}"), F.col(f"max_{c}"), F.col(f"p{c}")
+        box |= {f"{c}0": F.coalesce(within(F.floor(at_c - reach), lo, hi), lo), f"{c}1": F.coalesce(within(F.ceil(at_c + reach), lo + 1, hi + 1), hi + 1)}
+    b = stats.join(at, ["image_id", "facet_id"], "left").select("image_id", "facet_id", *[v.alias(k) for k, v in box.items()])
+    return b.select("image_id", "facet_id", F.col("x0").alias("min_x"), F.col("y0").alias("min_y"), *[F.greatest(F.lit(1), F.col(f"{c}1") - F.col(f"{c}0")).cast("int").alias(n) for c, n in (("x", "width"), ("y", "height"))])

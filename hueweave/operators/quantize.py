@@ -81,6 +81,12 @@ def indexed(pixels: DataFrame, fitted: DataFrame) -> DataFrame:
     return px.join(own, ["image_id", "qr", "qg", "qb"]).select("image_id", "x", "y", "color_index")
 
 
+def recoloured(pixels: DataFrame, index: DataFrame, colours: DataFrame) -> DataFrame:
+    """image_id, x, y, r, g, b, a: pixels in their palette colours; their own alpha stays, or is 255."""
+    own = pixels.select("image_id", "x", "y", F.col("a") if "a" in pixels.columns else F.lit(255).alias("a"))
+    return index.join(own, ["image_id", "x", "y"]).join(colours, ["image_id", "color_index"]).select("image_id", "x", "y", "r", "g", "b", "a")
+
+
 def palette_stats(index: DataFrame, colours: DataFrame, aliases: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """image_id, color_index, r, g, b, color_alias, frequency, area_percentage (a share of 1); unused entries stay."""
     n = index.groupBy("image_id", "color_index").agg(F.count("*").alias("n"))

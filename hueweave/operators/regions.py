@@ -14,14 +14,17 @@ def around(px: DataFrame, value: str) -> DataFrame:
     return px.repartition("image_id").withColumns({"left": F.lag(value).over(row), "right": F.lead(value).over(row), "up": F.lag(value).over(column), "down": F.lead(value).over(column)})
 
 
-def strip_cleanup(index: DataFrame, runs: int) -> DataFrame:
-    """Pixels that differ from both vertical neighbours take the upper's colour, else from both horizontal ones the left's; interior ones only, from a snapshot each run."""
+def strip_cleanup(index: DataFrame, runs: int, counted: bool = False) -> DataFrame:
+    """Pixels that differ from both vertical neighbours take the upper's colour, else from both horizontal ones the left's; interior ones only, from a snapshot each run.
+
+    counted: with `changes`, how often a pixel changed."""
+    index = index.withColumn("changes", F.lit(0))
     for _ in range(runs):
         c, a = F.col("color_index"), around(index, "color_index")
         inner = F.col("left").isNotNull() & F.col("right").isNotNull() & F.col("up").isNotNull() & F.col("down").isNotNull()
         new = F.when(inner & (c != F.col("up")) & (c != F.col("down")), F.col("up")).when(inner & (c != F.col("left")) & (c != F.col("right")), F.col("left")).otherwise(c)
-        index = a.select("image_id", "x", "y", new.alias("color_index"))
-    return index
+        index = a.select("image_id", "x", "y", new.alias("color_index"), (F.col("changes") + (new != c).cast("int")).alias("changes"))
+    return index if counted else index.select("image_id", "x", "y", "color_index")
 
 
 def label(grid: np.ndarray) -> np.ndarray:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hueweave.functions.colour import resized
+
 #: Tiles of 50 columns, 2,500 pixels each; blocks of 5 by 5 share the colour of their first event, but for one event in ten or so.
 EVENT_PIXELS = """
 WITH e AS (
@@ -49,7 +51,12 @@ def rgba_pixels(images: DataFrame) -> DataFrame:
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """images(image_id, width, height, rgba) from files that the image source decodes; ids by path."""
-    raw = spark.read.format("image").load(path).select("image.*").filter("nChannels in (1, 3, 4)")
+    return decoded(spark.read.format("image").load(path))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """images of rows of the image source; those of other than 1, 3 or 4 channels go."""
+    raw = files.select("image.*").filter("nChannels in (1, 3, 4)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,3 +69,32 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
 
     own = raw.select(F.xxhash64("origin").alias("image_id"), "nChannels", "width", "height", "data")
     return own.mapInArrow(run, "image_id long, width int, height int, rgba binary")
+
+
+def lanczos(size: int, to: int) -> np.ndarray:
+    """to x size weights of a Lanczos filter of three lobes, as wide as the reduction needs; rows sum to one."""
+    ratio = size / to
+    x = (np.arange(size)[None] + 0.5 - (np.arange(to)[:, None] + 0.5) * ratio) / max(ratio, 1.0)
+    w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resized_images(images: DataFrame, max_width: int, max_height: int) -> DataFrame:
+    """images made to fit the limits, with original_width, original_height and resized; smaller ones stay as they are."""
+    w, h = resized(F.col("width"), F.col("height"), max_width, max_height)
+    cols = checked(images).select(F.col("image_id").cast("long"), w.alias("width"), h.alias("height"), "rgba", F.col("width").cast("int").alias("original_width"), F.col("height").cast("int").alias("original_height"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for to_w, to_h, raw, w, h in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                if (to_w, to_h) != (w, h):
+                    px = np.frombuffer(raw, np.uint8).reshape(h, w, 4).astype(np.float32)
+                    px = np.einsum("ah,hwc->awc", lanczos(h, to_h).astype(np.float32), px, optimize=True)
+                    px = np.einsum("bw,awc->abc", lanczos(w, to_w).astype(np.float32), px, optimize=True)
+                    raw = np.floor(np.clip(px, 0, 255) + 0.5).astype(np.uint8).tobytes()
+                out.append(raw)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary()), b.column(4), b.column(5)], names=["image_id", "width", "height", "rgba", "original_width", "original_height"])
+
+    out = cols.mapInArrow(run, "image_id long, width int, height int, rgba binary, original_width int, original_height int")
+    return out.withColumn("resized", (F.col("width") != F.col("original_width")) | (F.col("height") != F.col("original_height")))

@@ -1,13 +1,19 @@
 """Raster operators: small fixtures with known results, and every query against its SQL."""
 
+import json
+
 import duckdb
 import numpy as np
 import pytest
 
-from hueweave.operators import contours, quantize, regions
+from hueweave import __main__ as main
+from hueweave import api
+from hueweave.operators import borders, contours, quantize, regions, render
 from hueweave.plans import queries as registry
 from hueweave.settings import Settings, load, restrictions
-from hueweave.sources.raster import rgba_pixels
+from hueweave.sources import sinks
+from hueweave.sources.raster import image_files, resized_images, rgba_pixels
+from hueweave.streaming import images as images_
 
 D = "/root/testdata/sf0.001"
 
@@ -83,7 +89,7 @@ def test_donut_loops_label_and_svg(spark):
     box = {r.facet_id: r for r in contours.labels(loops, regions.facet_stats(f)).collect()}[0]
     assert not (box.min_x <= 2 < box.min_x + box.width and box.min_y <= 2 < box.min_y + box.height)
     palette = spark.createDataFrame([(1, i, 10 * i, 0, 0) for i in range(3)], "image_id long, color_index int, r int, g int, b int")
-    svg = contours.svg(loops, regions.facet_stats(f), palette).first().svg
+    svg = render.svg(loops, regions.facet_stats(f), palette).first().svg
     assert svg.count("<path") == 3 and svg.split("<path")[1].count("M ") == 2
 
 
@@ -99,3 +105,120 @@ def test_settings():
     assert restrictions("// x\n\n1, 2,3\n") == ((1, 2, 3),)
     with pytest.raises(ValueError):
         restrictions("1,2,300")
+
+
+PALETTE = "image_id long, color_index int, r int, g int, b int"
+
+
+def images(spark, *rows):
+    data = [(i + 1, w, h, bytearray(b for p in px for b in (*p, 255))) for i, (w, h, px) in enumerate(rows)]
+    return spark.createDataFrame(data, "image_id long, width int, height int, rgba binary")
+
+
+DONUT = (5, 5, [(0, 0, 255) if (x, y) == (2, 2) else (255, 0, 0) if x in (0, 4) or y in (0, 4) else (0, 255, 0) for y in range(5) for x in range(5)])
+
+
+def test_segments_change_with_the_neighbour():
+    steps = borders.Steps(np.array([[0, 0, 1], [0, 0, 1], [2, 2, 1]]))
+    outer = steps.loops()[0]
+    assert tuple(steps.start[:, outer[0]]) == (0, 0)
+    assert [n for n, _ in steps.segments(outer)] == [-1, 2, 1]
+
+
+def test_two_facets_share_their_border():
+    rows = borders.bordered(np.array([[0, 1], [0, 1]]), 2)
+    assert [r[6:] for r in rows] == [(2, 1, 0), (2, 1, 1)] and [r[2] for r in rows] == [-2, -2]
+
+
+def test_smoothing_keeps_ends_and_canvas_edges():
+    p = np.array([(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 4), (4, 4)], float)
+    assert borders.smoothed(p, 9, 9, 1).tolist() == [[1, 1], [1.5, 2], [2.5, 3], [4, 4]]
+    assert borders.smoothed(p, 9, 3, 1).tolist() == [[1, 1], [1.5, 2], [2, 3], [3, 3], [4, 4]]
+    assert borders.smoothed(p[:5], 9, 9, 3).tolist() == p[:5].tolist()
+
+
+def test_random_grids_trace_and_fill_back(spark):
+    r = np.random.default_rng(5)
+    cells = r.integers(0, 3, (23, 31))
+    f = regions.facet_map(index(spark, cells.tolist())).persist()
+    ids = np.array(grid(f, "facet_id"))
+    total, closed = np.zeros(ids.max() + 1), 0
+    steps = borders.Steps(ids)
+    for p in steps.loops():
+        line = steps.corners(p)
+        total[steps.facet[p[0]]] += borders.area(line)
+        closed += (line[0] == line[-1]).all()
+        whole = np.concatenate([s for _, s in steps.segments(p)])
+        assert {tuple(q) for q in whole} == {tuple(q) for q in line}
+    assert closed == len(steps.loops()) and (-total == np.bincount(ids.ravel())).all()
+    assert np.array_equal(grid(render.filled(contours.loops(f)), "facet_id"), ids)
+    assert np.array_equal(grid(render.filled(borders.paths(f, 0)), "facet_id"), ids)
+
+
+def test_whole_donut(spark):
+    px = rgba_pixels(images(spark, DONUT, (2, 2, [(255, 0, 0)] * 2 + [(0, 0, 255)] * 2)))
+    s = Settings(kmeans_clusters=3, narrow_pixel_strip_cleanup_runs=0, remove_facets_smaller_than=1, border_smoothing_passes=0, show_labels=True)
+    out = api.process(px, s)
+    freq = {(r.image_id, r.color_index): (r.r, r.g, r.b, r.frequency) for r in out.palette.collect()}
+    assert freq == {(1, 0): (0, 0, 252, 1), (1, 1): (252, 0, 0, 16), (1, 2): (0, 252, 0, 8), (2, 0): (0, 0, 252, 2), (2, 1): (252, 0, 0, 2)}
+    svg = {r.image_id: r.svg for r in out.svg.collect()}
+    assert svg[1].count("<path") == svg[1].count("<text") == 3 and svg[1].split("<path")[1].count("M ") == 2
+    assert "M 0 0 Q 0 0.5 0 1 " in svg[1] and svg[1].endswith("</svg>")
+    assert grid(out.rasterised().filter("image_id = 1"), "g")[1] == [0, 252, 252, 252, 0]
+    stages = {k: v.filter("image_id = 2") for k, v in out.stages().items()}
+    assert all(v.count() == 4 for v in stages.values())
+    m = {r.image_id: r for r in out.metrics.collect()}[1]
+    assert (m.facets_before_reduction, m.facets_after_reduction, m.contour_traced_path_points) == (3, 3, 52)
+    debug = {r.image_id: json.loads(r.data) for r in out.debug_json().collect()}
+    assert debug[2]["facet_count"] == 2 and debug[2]["facets_summary"][0]["neighbour_facets"] == [1] and len(debug[1]["palette"]) == 3
+    out.release()
+    nothing = api.process(px.filter("false"), s)
+    assert nothing.svg.count() == nothing.palette.count() == 0
+
+
+def test_lines_and_label_boxes(spark):
+    loops = spark.createDataFrame([(1, [0.0, 3.0], [0.0, 1.0])], "image_id long, xs array<double>, ys array<double>")
+    assert {(r.x, r.y) for r in render.line_pixels(loops).collect()} == {(0, 0), (1, 0), (2, 1), (3, 1)}
+    box = spark.createDataFrame([(1, 0, 2, 2, 5, 3)], "image_id long, facet_id int, min_x int, min_y int, width int, height int")
+    got = {(r.x, r.y) for r in render.label_pixels(box).collect()}
+    assert (4, 3) in got and (2, 2) in got and (6, 4) in got and len(got) == 12 + 3
+
+
+def test_preview_labels_do_not_overlap(spark):
+    box = [(1, f, x, 0, 20, 20) for f, x in ((0, 0), (1, 5), (2, 40), (3, 80))]
+    labels = spark.createDataFrame(box, "image_id long, facet_id int, min_x int, min_y int, width int, height int")
+    stats = spark.createDataFrame([(1, 0, 3, 50), (1, 1, 4, 90), (1, 2, 12, 60), (1, 3, 1, 20)], "image_id long, facet_id int, color_index int, point_count long")
+    got = {r.facet_id: (r.label, round(r.font_size, 2)) for r in render.preview_labels(labels, stats).collect()}
+    assert got == {1: ("4", 9.2), 2: ("12", 6.96)}
+
+
+def test_files_round_trip(spark, tmp_path):
+    source = tmp_path / "in"
+    sinks.write_files(sinks.png(rgba_pixels(images(spark, DONUT))), str(source), "donut", "png", numbered=False)
+    assert [f.name for f in source.iterdir()] == ["donut.png"]
+    back = image_files(spark, str(source))
+    assert back.first().rgba == images(spark, DONUT).first().rgba
+    (tmp_path / "c.json").write_text('{"narrowPixelStripCleanupRuns": 0}')
+    main.run(spark, main.arguments(["-c", str(tmp_path / "c.json"), "-i", str(source), "-o", str(tmp_path / "out" / "x.svg"), "-k", "3", "--remove-facets-smaller-than", "1", "--format", "svg, palette.json,png,quantized.png,debug.json,profile.json,nonsense"]))
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["x.debug.json", "x.palette.json", "x.png", "x.profile.json", "x.quantized.png", "x.svg"]
+    assert [e["frequency"] for e in json.loads((tmp_path / "out" / "x.palette.json").read_text())] == [1, 16, 8]
+    assert json.loads((tmp_path / "out" / "x.profile.json").read_text())["width"] == 5
+    seen = []
+    images_.watch(spark, str(source), str(tmp_path / "state"), lambda out, n: seen.append((n, out.svg.count()))).awaitTermination()
+    assert seen == [(0, 1)]
+
+
+def test_resizing(spark):
+    px = [(x * 10, 100, 0) for y in range(8) for x in range(16)]
+    r = resized_images(images(spark, (16, 8, px), (2, 2, px[:4])), 8, 8).orderBy("image_id").collect()
+    assert [(x.width, x.height, x.resized) for x in r] == [(8, 4, True), (2, 2, False)]
+    got = np.frombuffer(r[0].rgba, np.uint8).reshape(4, 8, 4)
+    assert (got[..., 1] == 100).all() and (np.diff(got[0, :, 0].astype(int)) > 0).all() and bytes(r[1].rgba) == images(spark, (2, 2, px[:4])).first().rgba
+
+
+def test_command_line_settings(tmp_path):
+    (tmp_path / "c.json").write_text('{"kmeansClusters": 5, "resize": {"enabled": true}}')
+    s = main.settings(main.arguments(["-i", "a", "-o", "b", "-c", str(tmp_path / "c.json"), "--no-resize", "--border-smoothing-passes", "1"]))
+    assert (s.kmeans_clusters, s.resize_enabled, s.border_smoothing_passes) == (5, False, 1)
+    assert main.settings(main.arguments(["-i", "a", "-o", "b", "--resize-max-width", "7"])).resize_enabled
+    assert sinks.place("out/x.svg") == ("out", "x") and sinks.place("out") == ("out", "result")
