@@ -20,6 +20,11 @@ ORDER = 4
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(t: str) -> bool:
+    """Numbers other than digits, such as fractions, pass the pattern but are no letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(t))
+
+
 def tree(words: Counter, order: int = ORDER) -> dict[bytes, dict[int, int]]:
     """Counts of next bytes by context, for every context of 0 to `order` bytes within a word and the space before it."""
     nodes: dict[bytes, dict[int, int]] = {}
@@ -140,7 +145,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         for b in batches:
             pred, score = [], []
             for t in b.column(2).to_pylist():
-                if t is None or not langs or not _LETTER.search(t):
+                if t is None or not langs or not has_letter(t):
                     pred.append("und")
                     score.append(0.0)
                 else:

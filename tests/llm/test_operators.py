@@ -22,7 +22,7 @@ def texts():
     r = random.Random(1)
     base = [" ".join(r.choice("red green blue cyan gold grey pink teal".split()) + str(r.randrange(30)) for _ in range(60)) for _ in range(6)]
     near = [b.replace(b.split()[7], "X") for b in base] + [" ".join(b.split()[:50]) for b in base]
-    odd = [None, "", " \t\n", "a", "A b", "a B", "one two three four", "!!! 123", "x" * 30_000, " ".join(["word"] * 9_000), base[0], base[0], base[0].upper(), "Mail a.b@c.de, +1 (555) 123-4567; 4111 1111 1111 1111 1.2.3.4 999.1.1.1 x@y z@q.r@s.t", "İstanbul ΣΑΣ don't <|endoftext|> é\x1cz 12½"]
+    odd = [None, "", " \t\n", "a", "A b", "a B", "one two three four", "!!! 123", "½ ² 3", "x" * 30_000, " ".join(["word"] * 9_000), base[0], base[0], base[0].upper(), "Mail a.b@c.de, +1 (555) 123-4567; 4111 1111 1111 1111 1.2.3.4 999.1.1.1 x@y z@q.r@s.t", "İstanbul ΣΑΣ don't <|endoftext|> é\x1cz 12½"]
     return base + near + odd
 
 
