@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TERM = re.compile(r"\b[^\W\d_]{3,}\b")
+_WORD_CHAR = re.compile(r"\w")
+#: Rows of a batch that tasks make.
+ROWS = 100_000
 
 
 def luhn(digits: str) -> bool:
@@ -72,55 +76,96 @@ def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def contexts(t: str, reach: int = 64) -> Iterator[tuple[int, str, int]]:
-    """(entity, term, context) for the terms within `reach` characters of each base span, without the spans themselves."""
+def words_beside(t: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The different terms of a text in lower case, without those that overlap its base spans."""
+    out, at = [], 0
+    for s, _, e in spans:
+        if e > at:
+            s = max(s, at)
+            out += [t[at:s], _WORD_CHAR.sub("0", t[s:e])]
+            at = e
+    return {x.lower() for x in set(_TERM.findall("".join([*out, t[at:]])))}
+
+
+def entities(t: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    return {_hash(_entity(t, x)) for x in spans}
+
+
+def contexts(t: str, wanted: frozenset | None = None) -> Iterator[tuple[int, str]]:
+    """(entity, term) for the different entities of a text, or the wanted ones of them, and all its terms."""
     spans = base_spans(t)
-    for i, (s, k, e) in enumerate(spans):
-        left, right = t[max(0, s - reach, spans[i - 1][2] if i else 0) : s], t[e : min(e + reach, spans[i + 1][0] if i + 1 < len(spans) else e + reach)]
-        terms = {x.lower() for x in _TERM.findall(left.partition(" ")[2] if s > reach else left)} | {x.lower() for x in _TERM.findall(right.rpartition(" ")[0])}
-        entity, around = _hash(_entity(t, (s, k, e))), _hash(left + "\0" + right)
-        for x in terms:
-            yield entity, x, around
+    own = entities(t, spans) if spans else set()
+    own = own if wanted is None else own & wanted
+    if own:
+        terms = words_beside(t, spans)
+        yield from ((e, x) for e in own for x in terms)
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, support: int = 5, held_terms: int = 200_000) -> DataFrame:
     """term: those whose pointwise mutual information with a protected entity is at least `threshold` of the entity's information.
 
-    Entities are the base values. n(e, t) counts different contexts of e that hold t, n(e) those of e, n(t) documents that
-    hold t, all over the whole table; pairs of fewer than `support` contexts tell nothing (in a corpus, what stands once beside
-    a value that stands once would seem to disclose it). Copies of a context count once. All counts are sums by key with
-    partial aggregation, so a frequent entity or term does not meet in one task. Documents are counted for terms of enough support: up to `held_terms` of them
-    by a set that all tasks hold, more by a join."""
-    small_batches(docs.sparkSession)
+    Entities are the base values; an entity and a term co-occur where a text holds both, however far apart. n(e, t) counts
+    different texts that hold both, n(e) those that hold e, n(t) documents that hold t, all over the whole table; pairs of fewer than
+    `support` texts tell nothing (in a corpus, what stands once beside a value that stands once would seem to disclose it),
+    so entities of fewer are not paired. All counts are sums by key with partial aggregation, so a frequent entity or term
+    does not meet in one task. Entities that have support are held by all tasks in blocks of `held_terms`, one pass for each.
+    Documents are counted for terms of enough support: up to `held_terms` of them by a set that all tasks hold, more by a join."""
+    spark = docs.sparkSession
+    small_batches(spark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [x for t in b.column(0).to_pylist() for x in contexts(t)]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["entity", "term", "around"])
+            rows = [(e, h) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in entities(t, base_spans(t))]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["entity", "around"])
+
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("around")).filter("text is not null")
+    likely = texts.filter(F.col("text").rlike("[0-9@]"))
+    alone = table(likely.mapInArrow(named, "entity long, around long").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support))
+    blocks: list[list[int]] = [[]]
+    for r in alone.select("entity").toLocalIterator():
+        if len(blocks[-1]) == max(1, held_terms):
+            blocks.append([])
+        blocks[-1].append(r.entity)
+    near = None
+    for block in filter(None, blocks):
+        wanted = spark.sparkContext.broadcast(frozenset(block))
 
-    texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
-    near = table(texts.filter(F.col("text").rlike("[0-9@]")).mapInArrow(run, "entity long, term string, around long").distinct())
-    pairs = table(near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support))
+        def paired(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    rows = contexts(t, wanted.value)
+                    while some := list(islice(rows, ROWS)):
+                        yield pa.record_batch([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.string()), pa.array([h] * len(some), pa.int64())], names=["entity", "term", "around"])
+
+        more = likely.mapInArrow(paired, "entity long, term string, around long")
+        near = more if near is None else near.unionByName(more)
+    if near is None:
+        return spark.createDataFrame([], "term string")
+    pairs = table(near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support))
     empty = pairs.select("term").limit(0)
     n_terms = pairs.select("term").distinct().count()
     if not n_terms:
         return empty
-    alone = near.select("entity", "around").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = pairs.select("term").distinct()
     if n_terms <= held_terms:
-        held = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
+        held = spark.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
 
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    found.update(held.value.intersection(_TERM.findall(t.lower())))
+                    found.update(held.value & words_beside(t, base_spans(t)))
             yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
         counts = texts.mapInArrow(hold, "term string, n long")
     else:
-        words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{M}\p{N}_])\p{L}{3,}(?![\p{L}\p{M}\p{N}_])"), F.lit(0)))).alias("term"))
-        counts = words.join(wanted, "term", "left_semi").select("term", F.lit(1).alias("n"))
+
+        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    yield pa.record_batch([pa.array(list(words_beside(t, base_spans(t))), pa.string())], names=["term"])
+
+        counts = texts.mapInArrow(every, "term string").join(wanted, "term", "left_semi").select("term", F.lit(1).alias("n"))
     n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
     n = texts.count()
     x = pairs.join(alone, "entity").join(n_t, "term")

@@ -169,6 +169,17 @@ def test_disclosing_terms_are_generalised(spark):
     assert clean[0] == "filler0 text the call [TERM] at [EMAIL] today number0 the" and clean[100] == rows[12][1] and clean[500] == "the name [TERM] alone"
 
 
+def test_terms_disclose_from_anywhere_in_a_text(spark):
+    """At the end of a text, in line-based records, and far from the value."""
+    common = "the ordinary words of a call today "
+    rows = [f"call a@b.com Zebulon {i}" if i % 2 else f"mail: a@b.com\nname:\nZebulon\n{i}" for i in range(12)]
+    rows += [f"{i} Quillon\t{common * 20}c@d.com" for i in range(12)] + [f"{common}{i}" for i in range(400)]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.term for r in pii.disclosing_terms(d).collect()} >= {"zebulon", "quillon"}
+    assert {x for _, x in pii.contexts("call a@b.com Zebulon")} == {"call", "zebulon"}
+    assert {x for _, x in pii.contexts("x" * 80 + "\nZebulon\na@b.com")} == {"x" * 80, "zebulon"}
+
+
 def test_code_lengths_are_exact():
     """The probabilities of all bytes after a context sum to one, escapes and exclusion included."""
     t = language.tree(Counter({"banana": 3, "bandana": 1, "cab": 2}))
