@@ -6,11 +6,12 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hueweave.llm.common import small_batches, table, text_or_empty
@@ -26,6 +27,8 @@ _TERM = re.compile(r"\b[^\W\d_]{3,}\b")
 _WORD_CHAR = re.compile(r"\w")
 #: Rows of a batch that tasks make.
 ROWS = 100_000
+#: Bits, as a power of two, of the map of texts that may be repeated.
+MARKS = 24
 
 
 def luhn(digits: str) -> bool:
@@ -101,15 +104,24 @@ def contexts(t: str, wanted: frozenset | None = None) -> Iterator[tuple[int, str
         yield from ((e, x) for e in own for x in terms)
 
 
+def _marked(spark: SparkSession, hashes: DataFrame) -> Callable[[int], bool]:
+    """Whether a hash may be among hashes: true for all that are, and for few others. A map of 2**MARKS bits, which all tasks hold."""
+    bits = np.zeros(1 << MARKS - 3, np.uint8)
+    for r in hashes.select((F.col("around").bitwiseAND((1 << MARKS) - 1)).alias("bit")).distinct().toLocalIterator():
+        bits[r.bit >> 3] |= 1 << (r.bit & 7)
+    shared = spark.sparkContext.broadcast(bits.tobytes())
+    return lambda h: bool(shared.value[(h & (1 << MARKS) - 1) >> 3] >> (h & 7) & 1)
+
+
 def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, support: int = 5, held_terms: int = 200_000) -> DataFrame:
     """term: those whose pointwise mutual information with a protected entity is at least `threshold` of the entity's information.
 
     Entities are the base values; an entity and a term co-occur where a text holds both, however far apart. n(e, t) counts
-    different texts that hold both, n(e) those that hold e, n(t) documents that hold t, all over the whole table; pairs of fewer than
-    `support` texts tell nothing (in a corpus, what stands once beside a value that stands once would seem to disclose it),
+    different texts that hold both, n(e) those that hold e, n(t) those that hold t, n all, over the whole table, so copies of
+    a text count once; pairs of fewer than `support` texts tell nothing (in a corpus, what stands once beside a value that stands once would seem to disclose it),
     so entities of fewer are not paired. All counts are sums by key with partial aggregation, so a frequent entity or term
     does not meet in one task. Entities that have support are held by all tasks in blocks of `held_terms`, one pass for each.
-    Documents are counted for terms of enough support: up to `held_terms` of them by a set that all tasks hold, more by a join."""
+    Texts are counted for terms of enough support: up to `held_terms` of them by a set that all tasks hold, more by a join."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -141,36 +153,51 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
         near = more if near is None else near.unionByName(more)
     if near is None:
         return spark.createDataFrame([], "term string")
-    pairs = table(near.distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support))
+    near = table(near.distinct())
+    hashes = table(texts.groupBy("around").agg(F.count("*").alias("copies")))
+    n = hashes.count()
+    pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
+    enough = pmi >= threshold * F.log2(F.lit(float(n)) / F.col("n_e"))
+    # texts of paired entities that hold a term are some of those that hold it, so what fails by them would fail by all
+    some = near.groupBy("term", "around").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
+    pairs = table(pairs.join(alone, "entity").join(some, "term").filter(enough).drop("n_t"))
     empty = pairs.select("term").limit(0)
     n_terms = pairs.select("term").distinct().count()
     if not n_terms:
         return empty
     wanted = pairs.select("term").distinct()
+    repeated = _marked(spark, hashes.filter("copies > 1"))
     if n_terms <= held_terms:
         held = spark.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
 
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    found.update(held.value & words_beside(t, base_spans(t)))
-            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-
-        counts = texts.mapInArrow(hold, "term string, n long")
+                row: list[tuple[str, int]] = []
+                for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if terms := held.value & words_beside(t, base_spans(t)):
+                        if repeated(h):
+                            row += [(x, h) for x in terms]
+                        else:
+                            found.update(terms)
+                yield pa.record_batch([pa.array([r[0] for r in row], pa.string()), pa.array([r[1] for r in row], pa.int64()), pa.array([1] * len(row), pa.int64())], names=["term", "around", "n"])
+            yield pa.record_batch([pa.array(list(found), pa.string()), pa.nulls(len(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "around", "n"])
+
+        counts = texts.mapInArrow(hold, "term string, around long, n long")
     else:
 
         def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    yield pa.record_batch([pa.array(list(words_beside(t, base_spans(t))), pa.string())], names=["term"])
-
-        counts = texts.mapInArrow(every, "term string").join(wanted, "term", "left_semi").select("term", F.lit(1).alias("n"))
-    n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = texts.count()
-    x = pairs.join(alone, "entity").join(n_t, "term")
-    pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    return table(x.filter(pmi >= threshold * F.log2(F.lit(float(n)) / F.col("n_e"))).select("term").distinct())
+                for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    terms = list(words_beside(t, base_spans(t)))
+                    yield pa.record_batch([pa.array(terms, pa.string()), pa.array([h] * len(terms), pa.int64())], names=["term", "around"])
+
+        counts = texts.mapInArrow(every, "term string, around long").join(wanted, "term", "left_semi").withColumn("n", F.lit(1))
+    # one row a term for texts that stand once, and one a term and text for those that may be repeated
+    counts = counts.groupBy("term", "around").agg(F.sum("n").alias("n"))
+    n_t = counts.groupBy("term").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+    return table(pairs.join(n_t, "term").filter(enough).select("term").distinct())
 
 
 def term_spans(t: str, terms: frozenset) -> list[tuple[int, int, int]]:

@@ -180,6 +180,15 @@ def test_terms_disclose_from_anywhere_in_a_text(spark):
     assert {x for _, x in pii.contexts("x" * 80 + "\nZebulon\na@b.com")} == {"x" * 80, "zebulon"}
 
 
+def test_copies_do_not_hide_disclosing_terms(spark):
+    """All counts are of different texts."""
+    rows = [f"call Zebulon at z@corp.example {i}" for i in range(6)] + [f"the ordinary words of a call today {i}" for i in range(300)]
+    rows += [rows[0]] * 200 + [rows[10]] * 50
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for held in (1000, 0):
+        assert [r.term for r in pii.disclosing_terms(d, held_terms=held).collect()] == ["zebulon"]
+
+
 def test_code_lengths_are_exact():
     """The probabilities of all bytes after a context sum to one, escapes and exclusion included."""
     t = language.tree(Counter({"banana": 3, "bandana": 1, "cab": 2}))
