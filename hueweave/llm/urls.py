@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hueweave.llm.common import table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments that vary by their form alone; braces do not stand unescaped in a URL.
 FORMS = (
@@ -43,23 +45,28 @@ def form(segment: Column) -> Column:
     return reduce(lambda s, f: F.regexp_replace(s, *f), FORMS, segment)
 
 
-def templates(paths: DataFrame, depth: int = 4, min_children: int = 24, min_spread: float = 0.5, similar_z: float = 1.64) -> DataFrame:
+def templates(paths: DataFrame, min_children: int = 24, min_spread: float = 0.5, similar_z: float = 1.64) -> DataFrame:
     """paths(host, segs, n, labelled, bad) with template, and with labelled and bad of all paths that share it.
 
-    Level by level, a node's children are generalised to * where there are min_children of them and min_spread times
-    as many as visits, which is how ids and slugs differ from sections; segments beyond `depth` are one **. Sibling
+    Level by level, until no path goes on, a node's children are generalised to * where there are min_children of them and
+    min_spread times as many as visits, which is how ids and slugs differ from sections. Sibling
     templates that differ in one literal then merge: branches whose share of bad labels is within similar_z standard
     errors of that of all siblings together, and of the others those of one fifth of the scale (named with #); branches without labels stay
-    apart. Nothing is kept per host in one task: each level is two aggregations and a join on (host, node)."""
-    segs = F.when(F.size("segs") > depth, F.concat(F.slice("segs", 1, depth), F.array(F.lit("**")))).otherwise(F.col("segs"))
-    p = paths.withColumns({"tree": segs, "node": F.lit("")})
-    for level in range(depth):
-        child = F.try_element_at(F.col("tree"), F.lit(level + 1))
-        p = p.withColumn("child", child)
-        kids = p.filter("child is not null").groupBy("host", "node", "child").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
+    apart. Nothing is kept per host in one task: each level is two aggregations and a join on (host, node), written before
+    the next, so plans stay small however deep paths are."""
+    p, done, level = table(paths.withColumn("node", F.lit(""))), [], 0
+    while True:
+        done.append(p.filter(F.size("segs") <= level))
+        p = p.filter(F.size("segs") > level).withColumn("child", F.col("segs")[level])
+        kids = p.groupBy("host", "node", "child").agg(F.sum("n").alias("n"))
+        kids = kids.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
         wide = kids.filter((F.col("k") >= min_children) & (F.col("k") >= min_spread * F.col("all"))).select("host", "node", F.lit(True).alias("wide"))
-        step = F.when(F.col("child").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child"))))
-        p = p.join(wide, ["host", "node"], "left").withColumn("node", F.concat("node", step)).drop("wide", "child")
+        step = F.concat(F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child")))
+        p = table(p.join(wide, ["host", "node"], "left").withColumn("node", F.concat("node", step)).drop("wide", "child"))
+        level += 1
+        if p.isEmpty():
+            break
+    p = reduce(DataFrame.unionByName, done)
     own = p.groupBy("host", F.col("node").alias("template")).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     # the last literal is what siblings differ in
     stem = F.regexp_replace("template", r"/[^/*{]+((?:/(?:\*\*?|\{[^/]*))*)$", r"/*$1")

@@ -353,6 +353,18 @@ def test_url_templates(spark):
     assert got == {("shop", "block", "/shop/*/buy"): 60, ("news", "allow", None): 60, ("a", "block", "/*/{num}.html#5"): 20, ("b", "block", "/*/{num}.html#5"): 20, ("c", "allow", None): 20}
 
 
+def judged(spark, rows):
+    d = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id long, url string, bad int")
+    return Counter((r.path.split("/")[-2], r.verdict, r.template) for r in urls.judge(d, [], label=F.col("bad")).collect())
+
+
+def test_url_templates_of_deep_paths(spark):
+    rows = [("http://h.x/a/b/c/d/", 0)] * 6 + [(f"http://h.x/a/b/c/d/spam/item-{i}x/buy/", 1 if i < 20 else None) for i in range(60)]
+    rows += [(f"http://h.x/a/b/c/d/good/e/f/g/h/{i}/", 0 if i < 20 else None) for i in range(30)]
+    got = judged(spark, [(f"{u}end", y) for u, y in rows])
+    assert got == {("d", "allow", None): 6, ("buy", "block", "/a/b/c/d/spam/*/buy/end"): 60, **{(str(i), "allow", None): 1 for i in range(30)}}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
