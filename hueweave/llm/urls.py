@@ -46,10 +46,11 @@ def form(segment: Column) -> Column:
 
 
 def templates(paths: DataFrame, min_children: int = 24, min_spread: float = 0.5, similar_z: float = 1.64) -> DataFrame:
-    """paths(host, segs, n, labelled, bad) with template, and with labelled and bad of all paths that share it.
+    """paths(host, segs, n, labelled, bad) with template, and with labelled and bad of all paths that share it; n counts different paths.
 
     Level by level, until no path goes on, a node's children are generalised to * where there are min_children of them and
-    min_spread times as many as visits, which is how ids and slugs differ from sections. Sibling
+    min_spread of them have no more than 1 / min_spread different paths below, which is how ids and slugs differ from sections;
+    visits do not count, and a child of many paths is but one child. Sibling
     templates that differ in one literal then merge: branches whose share of bad labels is within similar_z standard
     errors of that of all siblings together, and of the others those of one fifth of the scale (named with #); branches without labels stay
     apart. Nothing is kept per host in one task: each level is two aggregations and a join on (host, node), written before
@@ -59,8 +60,8 @@ def templates(paths: DataFrame, min_children: int = 24, min_spread: float = 0.5,
         done.append(p.filter(F.size("segs") <= level))
         p = p.filter(F.size("segs") > level).withColumn("child", F.col("segs")[level])
         kids = p.groupBy("host", "node", "child").agg(F.sum("n").alias("n"))
-        kids = kids.groupBy("host", "node").agg(F.count("*").alias("k"), F.sum("n").alias("all"))
-        wide = kids.filter((F.col("k") >= min_children) & (F.col("k") >= min_spread * F.col("all"))).select("host", "node", F.lit(True).alias("wide"))
+        kids = kids.groupBy("host", "node").agg(F.count("*").alias("k"), F.count_if(F.col("n") * min_spread <= 1).alias("thin"))
+        wide = kids.filter((F.col("k") >= min_children) & (F.col("thin") >= min_spread * F.col("k"))).select("host", "node", F.lit(True).alias("wide"))
         step = F.concat(F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child")))
         p = table(p.join(wide, ["host", "node"], "left").withColumn("node", F.concat("node", step)).drop("wide", "child"))
         level += 1
@@ -97,9 +98,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     rows = rows.withColumns({"rule": rule, "action": action})
     if label is None:
         rows = rows.withColumn("label", F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", 0))
-    segs = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), form)
+    raw = F.filter(F.split("path", "/"), lambda s: s != "")
+    segs = F.transform(raw, form)
     rows = rows.withColumn("segs", segs)
-    paths = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    each = rows.groupBy("host", "segs", raw.alias("raw")).agg(F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    paths = each.groupBy("host", "segs").agg(F.count("*").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     found = templates(paths, **tree)
     purity = (F.col("bad") + weight * prior) / (F.col("labelled") + weight)
     rejected = found.filter((F.col("labelled") >= min_labelled) & (purity >= reject)).select("host", "segs", "template")

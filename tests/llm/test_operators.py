@@ -365,6 +365,15 @@ def test_url_templates_of_deep_paths(spark):
     assert got == {("d", "allow", None): 6, ("buy", "block", "/a/b/c/d/spam/*/buy/end"): 60, **{(str(i), "allow", None): 1 for i in range(30)}}
 
 
+def test_url_templates_do_not_depend_on_visits(spark):
+    rows = [(f"http://h.x/s/slug-{i}x", 1 if i < 20 else None) for i in range(60)]
+    want = {("s", "block", "/s/*"): 60}
+    assert judged(spark, rows) == want
+    assert judged(spark, rows * 3) == {k: 3 * n for k, n in want.items()}
+    assert judged(spark, rows + rows[:1] * 500) == {k: n + 500 for k, n in want.items()}
+    assert judged(spark, rows + [("http://h.x/s/slug-0x", 1)] + [(f"http://h.x/s/slug-0x/p{i}y{i}", 1) for i in range(20)])["s", "block", "/s/*"] == 61
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
