@@ -13,8 +13,9 @@ STEP, LEAP = 0.6180339887498949, (0x9E3779B97F4A7C15 * (1 << 20) % (1 << 64)) /
 GRID, CHUNK = 4096, 8192
 
 
-def _key(source: str) -> Column:
-    return F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
+def _key(source: str | Column) -> Column:
+    source = F.col(source) if isinstance(source, str) else source
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -99,12 +100,24 @@ def mixed_documents(docs: DataFrame, **more) -> DataFrame:
     return pieces.groupBy("doc_id", "key", "h", "bucket", "row", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select("doc_id", "key", "h", "size", "source_size", "target", "taken")
 
 
-def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, rounded to whole documents (0, 1 or 2 times).
+def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", width: int = 8_192, **more) -> DataFrame:
+    """The pieces of the mix as rows of docs, in slot order: texts are the pieces' words, with the white space before them, and chars_col their length.
 
-    Equal rows share their count."""
-    taken = mixed_documents(docs, id_col=id_col, text_col=text_col, **more)
-    times = taken.groupBy("h").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).select(F.col("h").alias("__h"), F.floor(F.coalesce(F.try_divide("t", "s"), F.lit(0.0)) + 0.5).cast("int").alias("__times")).filter("__times > 0")
-    key = F.xxhash64(F.col(id_col), text_or_empty(F.col(text_col)), F.lit("mix"))
-    out = docs.withColumn("__h", key).join(times, "__h").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*docs.columns)
+    A document comes as often as blocks of the schedule take from it, so a source has its target to the word. Partitions are
+    ranges of `width` slots, rising, each sorted, so files in the order of their names hold the schedule's order. Rows of equal id,
+    text and source share their pieces, and the other columns of one of them."""
+    pieces = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **more).filter("taken > 0")
+    pieces = table(pieces.select(F.col("key").alias("__key"), F.col("h").alias("__h"), F.col("slot").alias("__slot"), F.col("first").alias("__first"), F.col("taken").alias("__taken")))
+    last = pieces.agg(F.coalesce(F.max("__slot"), F.lit(0)).alias("s")).first().s
+    text = text_or_empty(F.col(text_col))
+    own = docs.withColumns({"__h": F.xxhash64(F.col(id_col), text, F.lit("mix")), "__key": _key(F.col(source_col).cast("string"))}).dropDuplicates(["__key", "__h"])
+    lists = pieces.groupBy("__key", "__h").agg(F.collect_list(F.struct("__slot", "__first", "__taken")).alias("__pieces"))
+    # words are split before the pieces are dealt out, once a document
+    words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = own.join(lists, ["__key", "__h"]).withColumn("__words", words).withColumn("__piece", F.explode("__pieces"))
+    piece = F.array_join(F.slice("__words", F.col("__piece.__first").cast("int") + 1, F.col("__piece.__taken").cast("int")), "")
+    cut = cut.withColumns({"__slot": F.col("__piece.__slot"), "__first": F.col("__piece.__first"), "__text": piece})
+    new = {text_col: F.col("__text"), chars_col: F.length("__text").cast("long")}
+    cut = cut.select("__slot", "__first", *[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])
+    dealt = cut.repartitionById(int(last // width) + 1, F.floor(F.col("__slot") / width).cast("int"))
+    return dealt.sortWithinPartitions("__slot", id_col, "__first").select(*docs.columns)

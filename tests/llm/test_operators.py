@@ -246,6 +246,25 @@ def test_mixture(spark, docs, empty):
     assert set(mixing.mixed_corpus(docs).columns) == set(docs.columns)
 
 
+def test_mixed_corpus_follows_the_schedule(spark):
+    """Words to the target of each source, also from one long document, in the schedule's order."""
+    rows = [(0, " ".join(f"a{i}" for i in range(3000)), "a", -1)] + [(i, " ".join(f"b{i}_{j}" for j in range(40)), "b", -1) for i in range(1, 101)] + [(200, " \tc0\n c1 ", "c", -1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    taken = mixing.mixed_documents(d, block=16)
+    want = {r.key[1:]: r.t for r in taken.groupBy("key").agg(F.sum("taken").alias("t")).collect()}
+    got = mixing.mixed_corpus(d, block=16, width=50).collect()
+    words = Counter()
+    for r in got:
+        words[r.source] += len(WORD.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert words == {k: n for k, n in want.items() if n}
+    runs = [r.source for r in got]
+    first = Counter()
+    for r in got[: len(got) // 4]:
+        first[r.source] += len(WORD.findall(r.text))
+    assert abs(first["a"] / sum(first.values()) - want["a"] / sum(want.values())) < 0.05 and sum(x != y for x, y in zip(runs, runs[1:])) > 50
+
+
 def test_schedule_is_even(spark):
     aims = spark.createDataFrame([("a", 5000), ("b", 2000), ("c", 1000), ("d", 3)], "key string, words long")
     slots = mixing.schedule(aims, 10).orderBy("slot").collect()
