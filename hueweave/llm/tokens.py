@@ -63,17 +63,18 @@ def _bare(path: str):
     return _BARE[path]
 
 
-def simple_ids(path: str, words: list[str], pieces: list[int]) -> list[bytes]:
-    """ids_of for words of letters, with a space before a mark at the end: each has so many pieces.
+def simple_ids(path: str, words: list[str]) -> list[bytes]:
+    """ids_of for words of letters, which may end in one of MARKS, a piece of its own.
 
     Letters need no cutting, so normal form, lower case and bytes are done for all at once, and the model is asked directly.
     A piece's last token, and no other, ends a word, which tells the words apart. Letters whose lower case is not one letter, or depends on the place, and texts that
-    are not in normal form go the long way."""
-    text = " ".join(words)
+    are not in normal form go the long way, as they are."""
+    marked = [w[-1] in MARKS for w in words]
+    text = " ".join([f"{w[:-1]} {w[-1]}" if m else w for w, m in zip(words, marked, strict=True)])
     bare, chars, ends = _bare(path)
     if is_normalized("NFC", text) and not any(c in text for c in "\u0130\u03a3"):
         ids = np.asarray(bare.encode_batch_fast([text.lower().encode().decode("latin-1").translate(chars)], add_special_tokens=False)[0].ids, "<u4")
-        at, last = np.flatnonzero(ends[ids]), np.cumsum(pieces)
+        at, last = np.flatnonzero(ends[ids]), np.cumsum(np.asarray(marked) + 1)
         if len(at) == last[-1]:
             cuts, raw = ((at[last - 1] + 1) * 4).tolist(), ids.tobytes()
             return [raw[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
@@ -91,20 +92,11 @@ class Chunks:
         """The chunks' values of each text, in order; a text that holds NOT_SPACE has one, its own."""
         split = [[t] if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
         new = set().union(*split).difference(self.known)
-        known, simple, spaced, pieces, other = self.known, [], {}, [], []
+        known, simple, other = self.known, [], []
         for w in new:
-            if w.isalpha():
-                simple.append(w)
-                pieces.append(1)
-            elif w[-1:] in MARKS and w[:-1].isalpha():
-                simple.append(w)
-                spaced[len(simple) - 1] = f"{w[:-1]} {w[-1]}"
-                pieces.append(2)
-            else:
-                other.append(w)
+            (simple if w.isalpha() or w[-1:] in MARKS and w[:-1].isalpha() else other).append(w)
         if simple:
-            words = [spaced.get(i, w) for i, w in enumerate(simple)]
-            known.update(zip(simple, map(self.make, simple_ids(self.path, words, pieces)), strict=True))
+            known.update(zip(simple, map(self.make, simple_ids(self.path, simple)), strict=True))
         if other:
             known.update(zip(other, map(self.make, ids_of(self.path, other)), strict=True))
         for chunks in split:

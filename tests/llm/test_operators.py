@@ -114,6 +114,21 @@ def test_chunks_start_anew(library):
         assert [b"".join(v) for v in c.values(t)] == [np.asarray(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in t]
 
 
+def test_ids_of_awkward_letters(library):
+    """Letters whose lower case depends or grows, marks, fractions, decomposed letters, special strings, all letters of the plane."""
+    odd = [*"İıΣσςßẞÅAaÉe\u0301\u030aﬁǅ½²٣क्षไ漢字한각가", "\u1112\u1161\u11ab", "<|endoftext|>", "</w>", "<unk>", *".,;:!?'-+_&\u2019\x1c\x00\u00a0\u200b\u3000\ufeff \n\t  "]
+    r = random.Random(5)
+    some = ["".join(r.choice(odd) for _ in range(r.randrange(1, 9))) for _ in range(20_000)] + ["DEĞERİ.", "ΣΑΣ. ΣΑΣ", "e\u0301."]
+    letters = [chr(c) for c in range(128, 0x20000) if chr(c).isalpha()]
+    some += [x for c in letters for x in (c, f"{c}.", f"a{c}b!")]
+    c = tokens.Chunks(queries.vocabulary(), {}, tokens.same, 5000)
+    for a in range(0, len(some), 500):
+        part = some[a : a + 500]
+        got = [b"".join(v) for v in c.values(part)]
+        want = [np.asarray(e.ids, "<u4").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        assert got == want, [t for t, x, y in zip(part, got, want, strict=True) if x != y]
+
+
 def test_packing(docs, library):
     own = numbered(docs)
     text = {r.doc_id: r.text or "" for r in own.collect()}
