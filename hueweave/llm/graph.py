@@ -5,13 +5,15 @@ largest by inner product."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import small_batches, table
-from hueweave.llm.vectors import asked, classes, dealt, for_blocks, merged, usable
+from hueweave.llm.common import table
+from hueweave.llm.vectors import asked, cells, classes, dealt, merged, usable
 
 
 def distances(x: np.ndarray, sq: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -129,43 +131,51 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_col: st
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest others by inner product as the graphs find them,
     with scores in double precision, ties to the smaller id.
 
-    Vectors that are null, zero, hold null or non-finite components, or are not as long as the longest, and null ids, take no part; with fewer than k
-    candidates all are returned, if met; rows that repeat an id and a vector count once; rows of the query's own id are no candidates. Equal vectors
-    are one node with their k + 1 smallest ids. Every distinct vector is in one shard's graph, of about per_shard nodes; queries meet each shard in blocks."""
-    spark = vectors.sparkSession
-    small_batches(spark, 5_000)
+    Vectors that are null, zero or hold null or non-finite components, and null ids, take no part; components that a vector lacks, when others are
+    longer, count as zeros; with fewer than k candidates all are returned, as shards of up to `width` nodes are searched whole; rows that repeat an id and
+    a vector count once; rows of the query's own id are no candidates. Equal vectors are one node with their k + 1 smallest ids. Every distinct vector is in
+    one shard's graph, of about per_shard nodes. Graphs are built once and written to the shared folder; queries meet each in blocks."""
     v = F.col(vector_col)
     good = vectors.filter(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda c: c.cast("double") + 0.0).alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c)
     top = good.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"), F.coalesce(F.max(norm), F.lit(0.0)).alias("sq")).first()
-    good = good.filter(F.size("vector") == top.dim)
+    good = good.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(top.dim) - F.size("vector"))))
     nodes, shards = dealt(table(classes(good, "vector", k)), "vector", per_shard)
     queries, blocks = asked(table(good.filter(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")), shards, block)
-    most = float(top.sq)
+    scale = 1 / np.sqrt(float(top.sq)) if top.sq else 1.0
+
+    def index(side: pd.DataFrame) -> pd.DataFrame:
+        exact = np.stack(side["vector"].to_list()).astype(np.float64)
+        up = np.sqrt(np.maximum(0, 1 - (exact * exact).sum(axis=1) * scale * scale))
+        x = np.concatenate([exact * scale, up[:, None]], 1).astype(np.float32)
+        links = build(x, **graph) if len(x) > width else None
+        return pd.DataFrame({"shard": side["shard"].iloc[:1], "index": [pickle.dumps((exact, x, [np.asarray(i, np.int64) for i in side["ids"]], links), 5)]})
 
     def search(side: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         ids_, near_, score_ = [], [], []
         if len(side) and len(ask):
-            exact = np.stack(side["vector"].to_list()).astype(np.float64)
-            own = side["ids"].to_list()
-            scale = 1 / np.sqrt(most)
-            up = np.sqrt(np.maximum(0, 1 - (exact * exact).sum(axis=1) * scale * scale))
-            x = np.concatenate([exact * scale, up[:, None]], 1).astype(np.float32)
-            links, entry = build(x, **graph)
+            exact, x, own, links = pickle.loads(side["index"].iloc[0])
             sq = np.einsum("id,id->i", x, x)
             want, ids = np.stack(ask["vector"].to_list()).astype(np.float64), ask["query_id"].to_numpy(np.int64)
             for a in range(0, len(ids), 512):
                 q = np.concatenate([want[a : a + 512] * scale, np.zeros((len(ids[a : a + 512]), 1))], 1).astype(np.float32)
-                met, _ = beam(x, sq, links, entry, q, max(width, k + 1))
-                for i, row in enumerate(met[:, : max(k + 1, width // 2)]):
+                met = np.tile(np.arange(len(x)), (len(q), 1)) if links is None else beam(x, sq, *links, q, max(width, k + 1))[0]
+                for i, row in enumerate(met):
                     row = row[row >= 0]
                     s = (exact[row] * want[a + i]).sum(axis=1)
-                    me = int(ids[a + i])
-                    got = sorted((-y, j) for r, y in zip(row.tolist(), s.tolist(), strict=True) for j in own[r] if j != me)[:k]
+                    first = np.argsort(-s, kind="stable")
+                    me, got, last = int(ids[a + i]), [], np.inf
+                    for r, y in zip(row[first].tolist(), s[first].tolist(), strict=True):
+                        if len(got) >= k and y < last:  # all ties of the kth are in
+                            break
+                        got += [(-y, j) for j in own[r].tolist() if j != me]
+                        last = y
+                    got = sorted(got)[:k]
                     ids_ += [me] * len(got)
                     near_ += [j for _, j in got]
                     score_ += [-y for y, _ in got]
         return pd.DataFrame({"query_id": np.array(ids_, np.int64), "vec_id": np.array(near_, np.int64), "score": np.array(score_, np.float64)})
 
-    found = for_blocks(nodes, blocks).groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
+    built = table(nodes.repartition(min(100_000, 2 * shards), "shard").groupBy("shard").applyInPandas(index, "shard int, index binary"))
+    found = cells(built, queries, shards, blocks, search, "query_id long, vec_id long, score double")
     return merged(found, F.desc("score"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import small_batches, table
-from hueweave.llm.vectors import asked, classes, dealt, for_blocks, merged, usable
+from hueweave.llm.common import table
+from hueweave.llm.vectors import asked, cells, classes, dealt, merged, usable
 
 
 def sign_code(vector: str, bits: int):
@@ -75,9 +75,8 @@ def nearest_codes(vectors: DataFrame, k: int = 10, bits: int = 64, every: int =
     Vectors that are null, zero or hold null or non-finite components, and null ids, take no part; with fewer than k candidates all
     are returned; rows that repeat an id and a code count once, and rows of the query's own id are no candidates. Equal codes are
     one entry with their k + 1 smallest ids. A shard holds about per_shard codes and meets the queries in blocks, so a task's
-    memory is bounded; each shard's search is exact, so the merge is."""
-    spark = vectors.sparkSession
-    small_batches(spark, 10_000)
+    memory is bounded; each shard's search is exact, so the merge is. Components that a vector lacks count as zeros. The index of a shard,
+    four sorts of per_shard codes, is cheaper to build for each block of queries than to read back."""
     rows = table(vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), sign_code(f"`{vector_col}`", bits).alias("code")))
     entries = table(classes(rows, "code", k))
     entries, shards = dealt(entries, "code", per_shard)
@@ -94,5 +93,5 @@ def nearest_codes(vectors: DataFrame, k: int = 10, bits: int = 64, every: int =
                 out += [(q, i, x) for x, i in near]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"]).astype("int64")
 
-    found = for_blocks(entries, blocks).groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, distance long")
+    found = cells(entries, queries, shards, blocks, search, "query_id long, vec_id long, distance long")
     return merged(found, F.col("distance"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,18 @@ def dealt(classes_: DataFrame, key: str, per_shard: int) -> tuple[DataFrame, int
 
 
 def asked(queries: DataFrame, shards: int, block: int) -> tuple[DataFrame, int]:
-    """queries(query_id, ...) for each shard, in blocks of about `block` queries."""
-    blocks = max(1, -(-queries.count() // block))
+    """queries(query_id, ...) for each shard, in blocks of about `block` queries; smaller ones, of 64 at least, where shards are too few to keep the cores busy."""
+    n, cores = queries.count(), queries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(-(-n // 64), -(-2 * cores // shards)))
     q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     return q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), blocks
 
 
-def for_blocks(classes_: DataFrame, blocks: int) -> DataFrame:
-    return classes_.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def cells(sides: DataFrame, queries: DataFrame, shards: int, blocks: int, search: Callable, schema: str) -> DataFrame:
+    """search(side, queries) for every shard and block. The number of partitions is given, as adaptive plans would join small ones into a single task."""
+    deal = lambda df: df.repartition(min(100_000, 2 * shards * blocks), "shard", "block").groupBy("shard", "block")
+    sides = sides.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return deal(sides).cogroup(deal(queries)).applyInPandas(search, schema)
 
 
 def merged(found: DataFrame, measure: Column, k: int) -> DataFrame:
