@@ -204,31 +204,75 @@ def test_copies_do_not_hide_disclosing_terms(spark):
         assert [r.term for r in pii.disclosing_terms(d, held_terms=held).collect()] == ["zebulon"]
 
 
+def plain_length(nodes, context, symbol):
+    """Bits by method C with exclusion over nested dictionaries: context -> next byte -> count."""
+    bits, out = 0.0, set()
+    for k in range(len(context) + 1):
+        left = {s: c for s, c in nodes.get(context[k:], {}).items() if s not in out}
+        if left:
+            total = sum(left.values()) + len(left)
+            if symbol in left:
+                return bits - math.log2(left[symbol] / total)
+            bits -= math.log2(len(left) / total)
+            out.update(left)
+    return bits + math.log2(256 - len(out))
+
+
 def test_code_lengths_are_exact():
-    """The probabilities of all bytes after a context sum to one, escapes and exclusion included."""
-    t = language.tree(Counter({"banana": 3, "bandana": 1, "cab": 2}))
-    for context in (b"", b" ", b"ana", b"an", b"zz", b" ban"):
-        assert math.isclose(sum(2 ** -language.code_length(t, context, s) for s in range(256)), 1, rel_tol=1e-9)
-    s = language.Scorer([t])
-    words = [f" {w} ".encode() for w in "banana zebra cab".split()]
-    want = sum(language.code_length(t, b[max(0, i - 4) : i], b[i]) for b in words for i in range(1, len(b)))
-    assert math.isclose(s.bits("  banana zebra\ncab")[0], want)
+    """Those of nested dictionaries, over word borders; the probabilities of all bytes after a context sum to one, escapes and exclusion included."""
+    taught = [["banana bandana", "cab banana"], ["zebra\u00e9 ab  cab", "x"]]
+    counts = [np.unique(np.concatenate([language.grams(language.flat(t)) for t in own]), return_counts=True) for own in taught]
+    plain = []
+    for own in taught:
+        nodes = defaultdict(Counter)
+        for t in own:
+            b = language.flat(t)
+            for i in range(4, len(b)):
+                for k in range(5):
+                    nodes[b[i - k : i]][b[i]] += 1
+        plain.append(nodes)
+    for c, nodes in zip(counts, plain, strict=True):
+        tree = language.Tree(*c)
+        for context in (b"    ", b"bana", b"a ba", b"cab ", b"zzzz", b"zban"):
+            codes = language.grams(b"".join(context + bytes([s]) for s in range(256)))[::5]
+            got = tree.bits(codes)
+            assert math.isclose(np.exp2(-got).sum(), 1, rel_tol=1e-9)
+            assert np.allclose(got, [plain_length(nodes, context, s) for s in range(256)])
+    texts = ["  banana zebra\ncab", "x", "Cab \u00c9" * 300, "q" * 5]
+    for mb in (32, 0):
+        got, n = language.Scorer(counts, mb).bits(texts)
+        for t, row, size in zip(texts, got, n, strict=True):
+            b = language.flat(t)
+            assert size == len(b) - 4
+            assert np.allclose(row, [sum(plain_length(x, b[i - 4 : i], b[i]) for i in range(4, len(b))) for x in plain])
 
 
 def test_languages(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.languages(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.99 * len(got) > 100
+    assert sum(0.5 < r.score < 0.999 for r in got) > 0.9 * len(got)
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in got)
     rows = language.languages(docs, keep=["text"]).collect()
     assert len(rows) == docs.count()
     for r in rows:
         no_letter = r["__text"] is None or not any(c.isalpha() for c in r["__text"])
-        assert (r.lang_pred == "und") == no_letter and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == no_letter and 0 <= r.score <= 1 and (r.bits_per_byte is None) == no_letter
     assert language.languages(empty).count() == 0
     assert {r.lang_pred for r in language.languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_unknown_languages_go(spark):
+    """Long texts in an unlearned language or script go; very short clean ones, and all that the learned ones hold, stay."""
+    d = spark.read.parquet(f"{D}/documents.parquet")
+    few = [("Tämä kirjoitus on kieltä jota kukaan täällä ei ole oppinut, hyvää yötä kaikille ystäville ja myös muille. " * 4, 0), ("Это письмо на другом языке. " * 12, 0), ("zqxj vkqz jjxq wvzk " * 30, 0), ("von und", 1), ("The", 1), ("12 ½", 0)]
+    more = spark.createDataFrame([(10_000 + i, t, None, f"s{k}", len(t)) for i, (t, k) in enumerate(few)], d.schema)
+    kept = {r.doc_id: r.source for r in language.known_language(d.unionByName(more)).collect()}
+    assert {i for i in kept if i < 10_000} == {r.doc_id for r in d.collect()}
+    assert {i for i in kept if i >= 10_000} == {10_000 + i for i, (_, k) in enumerate(few) if k}
+    assert language.known_language(d.filter("false")).count() == 0
+
+
 def test_mixture(spark, docs, empty):
     for own in (docs, spark.read.parquet(f"{D}/documents.parquet")):
         rows = mixing.mixed_documents(own, block=16).collect()
@@ -360,6 +404,20 @@ def test_graph_search(spark, vectors):
     assert graph.nearest_vectors(vectors.filter("false")).count() == 0
 
 
+def test_vectors_of_unequal_length_and_few_candidates(spark):
+    """What a shorter vector lacks is zero; with fewer than k candidates all are found."""
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=64 - i % 3).tolist(), "x", 1, b"i") for i in range(15)] + [(60, [], "x", 1, b"i"), (40, [5.0], "x", 1, b"i")]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, block int, index binary")
+    padded = {i: np.array([*np.float32(v), *[0.0] * (64 - len(v))], float) for i, v, *_ in rows if v}
+    for found, score in ((graph.nearest_vectors(d, k=20), lambda a, b: -(a @ b)), (hamming.nearest_codes(d, k=20), lambda a, b: ((a > 0) != (b > 0)).sum())):
+        want = {q: [j for _, j in sorted((score(padded[q], padded[j]), j) for j in padded if j != q)] for q in (0, 40)}
+        got = defaultdict(list)
+        for x in found.orderBy("query_id", "rank").collect():
+            got[x.query_id].append(x.vec_id)
+        assert got == want
+
+
 def test_url_rules(spark):
     rows = [
         (1, "HTTP://Sub.Example.COM/en/7x?q", "sub.example.com", "/en/7x", "example.com/en/7", "allow"),
