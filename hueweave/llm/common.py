@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +42,44 @@ def table(df: DataFrame) -> DataFrame:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    if not _WRITTEN:
+        atexit.register(sweep, spark)
+    _WRITTEN.add(path)
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = 500, mb: int = 32) -> None:
-    """Arrow batches of a few MB, so that very long texts do not meet in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+_WRITTEN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.discard(path)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_written", None)):
+            _delete(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that table() wrote and drop() left. For when no result is read any more; it runs by itself when the process ends in order."""
+    try:
+        for path in list(_WRITTEN):
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session may be gone, and its files with it
+        pass
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most; Spark bounds the bytes of one. What becomes of a slice in Python then is a few MB."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def text_or_empty(text: Column) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import held, release, small_batches, table, text_or_empty
+from hueweave.llm.common import drop, held, release, sliced, table, text_or_empty
 from hueweave.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +89,7 @@ def _cut(docs: DataFrame, fragments: int, n: int) -> DataFrame:
     Within a batch, a class's segments are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             hashes = held("shingles", Words)
             sets = [shingles(t, n, hashes) for t in b.column(2).to_pylist()]
             cls = np.array([int.from_bytes(hashlib.blake2b(g.tobytes(), digest_size=8).digest(), "little", signed=True) for g in sets], np.int64)
@@ -214,7 +214,7 @@ def _sets(percent: int):
 
 def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2_000):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for c, n, parts, lens, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist(), strict=True):
                 raw = np.frombuffer(blob, np.uint8).reshape(-1, 7)
@@ -238,7 +238,7 @@ _PARCEL_NAMES = ["part", "a", "b", "x", "y", "blob"]
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of sets(cls, n, parts, lens, blob) in parcels by fragment: classes in a, lengths in x."""
-    for b in batches:
+    for b in sliced(batches, 2_000):
         part, lens = _all(b.column(2), np.int64), _all(b.column(3), np.int64)
         cls = np.repeat(np.asarray(b.column(0), np.int64), np.asarray(b.column(2).value_lengths()))
         raw = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, 7)
@@ -251,7 +251,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b, n_a, n_b, parts) in parcels by fragment, sizes in x and y."""
-    for b in batches:
+    for b in sliced(batches, 2_000):
         part = _all(b.column(4), np.int64)
         row = np.repeat(np.arange(b.num_rows), np.asarray(b.column(4).value_lengths()))
         order = np.argsort(part, kind="stable")
@@ -352,7 +352,6 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     within a component: a few rounds ask one pivot of each n-gram's sets, by size, and only then are sets that still
     lie in different components, share a prefix n-gram and are alike in size paired one by one."""
     spark = docs.sparkSession
-    small_batches(spark)
     text = text_or_empty(F.col(text_col))
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     all_bytes = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("b")).first().b
@@ -363,7 +362,6 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     rows = dealt.filter("bucket is null").select(F.explode(F.arrays_zip("doc_id", "h", "n", "cls")).alias("d")).select("d.doc_id", "d.h", F.col("d.n").alias("n_shingles"), F.when(F.col("d.n") > 0, F.col("d.cls")).alias("cls"))
     parcels = dealt.filter("bucket is not null").select("part", "bucket", "cls", "n", "lens", "blob")
     sets = table(parcels.repartitionById(fragments, F.col("bucket")).mapInArrow(_sets(percent), "cls long, n int, parts array<int>, lens array<int>, blob binary"))
-    small_batches(spark, 2_000)
     posts = table(sets.mapInArrow(_prefixes(percent), "key long, cls long, n int, at int"))
     links, tested, labels = None, None, None
     for r in range(len(PIVOTS) + 1):

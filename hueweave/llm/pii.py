@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import small_batches, table, text_or_empty
+from hueweave.llm.common import sliced, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # A run's start is the only place where a match can start, so runs are taken whole and never tried again from within.
@@ -123,10 +123,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     does not meet in one task. Entities that have support are held by all tasks in blocks of `held_terms`, one pass for each.
     Texts are counted for terms of enough support: up to `held_terms` of them by a set that all tasks hold, more by a join."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [(e, h) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for e in entities(t, base_spans(t))]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["entity", "around"])
 
@@ -143,7 +142,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
         wanted = spark.sparkContext.broadcast(frozenset(block))
 
         def paired(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     rows = contexts(t, wanted.value)
                     while some := list(islice(rows, ROWS)):
@@ -173,7 +172,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
 
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
-            for b in batches:
+            for b in sliced(batches):
                 row: list[tuple[str, int]] = []
                 for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     if terms := held.value & words_beside(t, base_spans(t)):
@@ -188,7 +187,7 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     else:
 
         def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     terms = list(words_beside(t, base_spans(t)))
                     yield pa.record_batch([pa.array(terms, pa.string()), pa.array([h] * len(terms), pa.int64())], names=["term", "around"])
@@ -234,14 +233,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms:
             blocks.append([])
         blocks[-1].append(r.term)
     held = [spark.sparkContext.broadcast(frozenset(b)) for b in blocks if b]
-    small_batches(spark)
     keep = keep or []
     own = docs.select(F.col(id_col).alias("__id"), text_or_empty(F.col(text_col)).alias("__text"), *[F.col(c) for c in keep])
     types = {f.name: f.dataType.simpleString() for f in own.schema}
     schema = ", ".join([f"`__id` {types['__id']}", "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, `__text` string", *[f"`{c}` {types[c]}" for c in keep]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             counts, sha, all_, text = [[], [], [], []], [], [], []
             for t in b.column(1).to_pylist():
                 base = base_spans(t)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import held, release, small_batches, text_or_empty
+from hueweave.llm.common import held, release, sliced, text_or_empty
 
 #: Characters at which str.split cuts but the tokenizer does not; texts that hold one are encoded whole.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -122,13 +122,24 @@ def same(ids: bytes) -> bytes:
     return ids
 
 
-def frequent_chunks(docs: DataFrame, path: str, text_col: str, sample: int = 1_500, of_each: int = 250, entries: int = 1 << 16) -> dict[str, bytes]:
-    """Ids of the most frequent chunks among the first of_each of `sample` documents: at most `entries`, each of LONGEST characters at most.
+def frequent_chunks(docs: DataFrame, path: str, text_col: str, held_chunks: int = 200_000, of_each: int = 4_096, entries: int = 1 << 16) -> dict[str, bytes]:
+    """Ids of the most frequent chunks of the whole table: at most `entries`, each of LONGEST characters at most.
 
-    The table only saves time: results do not depend on what is in it, so a few documents of the first partitions will do."""
-    chunks = F.slice(F.filter(F.split(text_or_empty(F.col(text_col)), r"\s+"), lambda w: F.length(w).between(1, LONGEST)), 1, of_each)
-    found = Counter(w for r in docs.select(F.array_join(chunks, " ").alias("w")).take(sample) for w in r.w.split())
-    top = [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:entries]]
+    Each task counts in a table of held_chunks, whose rarer half goes when it is full, and tells its of_each most frequent ones, which are then summed.
+    The table only saves time: no result depends on what is in it. Ties go to the lower chunk, equal sums of other tasks aside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in sliced(batches):
+            for t in b.column(0).to_pylist():
+                found.update(t.split())
+                if len(found) > held_chunks:
+                    found = Counter(dict(found.most_common(held_chunks // 2)))
+        top = [(w, n) for w, n in found.most_common(of_each) if len(w) <= LONGEST]
+        yield pa.record_batch([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["chunk", "n"])
+
+    counts = docs.filter(F.col(text_col).isNotNull()).select(text_col).mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    top = [r.chunk for r in counts.orderBy(F.desc("n"), "chunk").limit(entries).select("chunk").collect()]
     out = dict(zip(top, ids_of(path, top), strict=True)) if top else {}
     _TOKENIZERS.pop(path, None)  # the driver needs it no more
     release()
@@ -140,12 +151,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Special strings inside a text are taken as the library takes them by default."""
     spark = docs.sparkSession
-    small_batches(spark)
     frequent, job = spark.sparkContext.broadcast(frequent_chunks(docs, path, text_col)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks(path, frequent, job, count, keep)
-        for b in batches:
+        for b in sliced(batches):
             n = [sum(v) for v in chunks.values(b.column(1).to_pylist())]
             yield pa.record_batch([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
@@ -168,13 +178,12 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     draw from one bucket. sequence_id holds partition and place, so it is unique and needs no shuffle.
     Null texts are empty: one piece of one token. top is a power of two."""
     spark = docs.sparkSession
-    small_batches(spark, 200)
     frequent, job = spark.sparkContext.broadcast(frequent_chunks(docs, path, text_col)), uuid.uuid4().hex
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _chunks(path, frequent, job, same, keep)
-        for b in batches:
+        for b in sliced(batches, 200):
             row, start, length, crc, tokens, held = [], [], [], [], [], []
             for k, v in enumerate(chunks.values(b.column(1).to_pylist())):
                 ids = b"".join(v) + end
