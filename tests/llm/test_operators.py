@@ -1,5 +1,6 @@
 """The ten operators against brute force, on a small table of awkward rows: nulls, empty and very long texts, ties, copies, clashing columns."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -344,24 +345,43 @@ def least_capacity(sizes, n):
     return lo
 
 
-def test_minimax_cuts(spark):
+@pytest.mark.parametrize("case", ["even", "one above the mean", "few", "one cell"])
+def test_minimax_cuts_over_groups(spark, case):
+    """The least capacity of the groups themselves, whatever cells they lie in, and shards near the mean."""
     r = random.Random(3)
-    for n in (1, 3, 7, 40):
-        sizes = [r.randrange(1, 100) for _ in range(60)]
-        cuts = sharding.minimax_cuts(spark.createDataFrame([(i * 3, s) for i, s in enumerate(sizes)], "cell long, bytes long"), n)
-        load = Counter()
-        for i, s in enumerate(sizes):
-            load[sum(c <= i * 3 for c in cuts)] += s
-        assert len(cuts) < n and max(load.values()) == least_capacity(sizes, n)
+    n_groups, n = {"even": (100_000, 40), "one above the mean": (20_000, 40), "few": (5, 7), "one cell": (3_000, 7)}[case]
+    places = sorted(r.sample(range(1 << (60 if case != "one cell" else 20)), n_groups))
+    sizes = [16 + int(r.paretovariate(1.3) * 300) for _ in places]
+    if case == "one above the mean":
+        sizes[777] = sum(sizes) // 3
+    d = spark.createDataFrame(list(zip(places, sizes, strict=True)), "h long, bytes long").persist()
+    cuts, cap = sharding.minimax_cuts(sharding.looker(d), n)
+    assert len(cuts) == n - 1 and cuts == sorted(cuts) and cap == least_capacity(sizes, n)
+    load = [0] * n
+    for p, s in zip(places, sizes, strict=True):
+        load[bisect.bisect_right(cuts, p)] += s
+    assert max(load) <= cap
+    if case in ("even", "one cell"):
+        assert min(load) > sum(sizes) / n - 2 * max(sizes)
+    d.unpersist()
 
 
 def test_shards(docs, empty):
+    docs = docs.unionByName(docs.filter("doc_id is null")).unionByName(docs.filter("doc_id is null"))
     rows = sharding.shards(docs, 7).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     by, slots = defaultdict(set), defaultdict(list)
     for r in rows:
         by[r.text_crc32].add(r.shard)
         slots[r.shard].append(r.slot)
+    load = Counter()
+    for r in rows:
+        load[r.shard] += r["size"]
+    groups = defaultdict(int)
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        groups[int(hashlib.md5(text).hexdigest()[:15], 16)] += len(text) + 16
+    assert max(load.values()) <= least_capacity([groups[h] for h in sorted(groups)], 7)
     assert all(len(s) == 1 for s in by.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(7))
     assert sharding.shards(empty).count() == 0
 
