@@ -18,6 +18,15 @@ def _key(source: str | Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
 
 
+#: Bits of the hash by which a source's documents are in a row.
+BITS = 60
+
+
+def place(id_col: str, text: Column) -> Column:
+    """A document's place among its source's: the first BITS of the MD5 of id and text."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), text)), 1, BITS // 4), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes(key, source, source_size) with target.
 
@@ -70,20 +79,22 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     Each source's documents, in the order of a hash of id and text, form a stream of words that is read round and round
     until floor(target) words are taken; it is cut into blocks of `block` words, which the schedule's slots take by
     rank. A document that the mix leaves out has one row with null slot and no words. Null texts are empty; null sources
-    are one source, the last; equal rows are told apart by `row`. No step puts a source in one task: a source's stream is
-    summed by ranges of the hash first."""
+    are one source, the last; equal rows are counted first and told apart by `row` once they have their places. No step puts a source in one task: a source's
+    stream is summed by ranges of the hash first. Only sums of whole sources, a row each, meet in one task."""
     text = text_or_empty(F.col(text_col))
-    slim = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text, F.lit("mix")).alias("h")).withColumn("key", _key("source")))
+    slim = table(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), place(id_col, text).alias("h")).withColumn("key", _key("source")))
     n = slim.count()
     bits = max(6, (n // 5_000).bit_length())
-    slim = slim.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    slim = slim.withColumn("bucket", F.shiftright("h", BITS - bits))
     sums = table(slim.groupBy("key", "source", "bucket").agg(F.sum("size").alias("b_size")))
     aims = table(targets(sums.groupBy("key", "source").agg(F.sum("b_size").alias("source_size")), weights, share, most).withColumn("words", F.least(F.floor(F.col("target") + 1e-6), F.floor(F.lit(most) * F.col("source_size"))).cast("long")))
     start = F.sum("b_size").over(Window.partitionBy("key").orderBy("bucket")) - F.col("b_size")
     ranges = sums.select("key", "bucket", start.alias("start")).join(aims.select("key", "source_size", "target", "words"), "key")
-    inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size")
-    rows = Window.unboundedPreceding
-    placed = slim.join(ranges, ["key", "bucket"]).withColumns({"row": F.row_number().over(inside), "at": F.col("start") + F.sum("size").over(inside.rowsBetween(rows, 0)) - F.col("size")})
+    inside = Window.partitionBy("key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    equal = slim.groupBy("key", "bucket", "h", "doc_id", "size").agg(F.count("*").alias("n"))
+    equal = equal.withColumn("at", F.sum(F.col("size") * F.col("n")).over(inside) - F.col("size") * F.col("n")).join(ranges, ["key", "bucket"])
+    each = equal.withColumn("lot", F.explode(F.expr("sequence(0L, (n - 1) div 65536)"))).withColumn("row", F.explode(F.expr("sequence(lot * 65536, least(n - 1, lot * 65536 + 65535))")))
+    placed = each.withColumn("at", F.col("start") + F.col("at") + F.col("row") * F.col("size"))
     laps = F.when((F.col("words") > F.col("at")) & (F.col("size") > 0), F.ceil((F.col("words") - F.col("at")) / F.col("source_size")).cast("int")).otherwise(0)
     spans = F.expr(f"flatten(transform(if(laps > 0, sequence(0, laps - 1), cast(array() as array<int>)), l -> transform(sequence((at + l * source_size) div {block}, (least(at + size + l * source_size, words) - 1) div {block}), r -> struct(l as lap, r as rank))))")
     cut = placed.withColumn("laps", laps).withColumn("span", F.explode_outer(spans)).select("doc_id", "key", "h", "bucket", "row", "size", "source_size", "target", "words", "at", F.col("span.rank").alias("rank"), F.col("span.lap").alias("lap"))
@@ -110,7 +121,7 @@ def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pieces = table(pieces.select(F.col("key").alias("__key"), F.col("h").alias("__h"), F.col("slot").alias("__slot"), F.col("first").alias("__first"), F.col("taken").alias("__taken")))
     last = pieces.agg(F.coalesce(F.max("__slot"), F.lit(0)).alias("s")).first().s
     text = text_or_empty(F.col(text_col))
-    own = docs.withColumns({"__h": F.xxhash64(F.col(id_col), text, F.lit("mix")), "__key": _key(F.col(source_col).cast("string"))}).dropDuplicates(["__key", "__h"])
+    own = docs.withColumns({"__h": place(id_col, text), "__key": _key(F.col(source_col).cast("string"))}).dropDuplicates(["__key", "__h"])
     lists = pieces.groupBy("__key", "__h").agg(F.collect_list(F.struct("__slot", "__first", "__taken")).alias("__pieces"))
     # words are split before the pieces are dealt out, once a document
     words = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
