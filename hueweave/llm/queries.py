@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hueweave.llm import graph, hamming, jaccard, language, mixing, pii, sharding, tokens, urls
 from hueweave.llm.common import documents
-from hueweave.llm.sql import ORACLE
+from hueweave.llm.sql import oracle
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return oracle(RULES)
