@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import table
+from hueweave.llm.common import drop, table
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -30,4 +30,6 @@ def components(links: DataFrame) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before, e = now, table(_small(_large(e)))
+        before, last = now, e
+        e = table(_small(_large(e)))
+        drop(last)

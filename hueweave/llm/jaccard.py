@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import drop, held, release, sliced, table, text_or_empty
+from hueweave.llm.common import drop, held, release, sliced, spread_join, table, text_or_empty
 from hueweave.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -324,11 +324,11 @@ def _sums(percent: int):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, fragments: int, percent: int, few: bool) -> DataFrame:
-    """Of pairs(a, b, n_a, n_b), those similar enough. few: most sets are in no pair, so only those that are go to the fragments."""
+    """Of pairs(a, b, n_a, n_b, by), those similar enough. by is the one of both whose fragments are asked; few: most sets are in no pair, so only those that are go to the fragments."""
     used = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     segs = (sets.join(used, "cls", "left_semi") if few else sets).select("cls", "n", "parts", "lens", "blob").mapInArrow(_send, _PARCEL)
-    reach = sets.select(F.col("cls").alias("a"), "parts")
-    asked = pairs.join(reach, "a").select("a", "b", "n_a", "n_b", "parts").mapInArrow(_ask, _PARCEL)
+    reach = sets.select(F.col("cls").alias("by"), "parts")
+    asked = pairs.join(reach, "by").select("a", "b", "n_a", "n_b", "parts").mapInArrow(_ask, _PARCEL)
     met = segs.unionByName(asked).repartitionById(fragments, F.col("part")).mapInArrow(_overlaps(fragments), "bucket int, a array<long>, b array<long>, n_a array<long>, n_b array<long>, common array<long>")
     return met.repartitionById(fragments, F.col("bucket")).mapInArrow(_sums(percent), "u long, v long")
 
@@ -344,11 +344,35 @@ def _pair(p: str, q: str) -> list[Column]:
     return [pick(p, q, "cls").alias("a"), pick(q, p, "cls").alias("b"), pick(p, q, "n").alias("n_a"), pick(q, p, "n").alias("n_b")]
 
 
-def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, label: a row for each row of docs; documents of one label are linked by chains of similar sets.
+#: Rows of a key on either side that one task pairs with each other.
+BLOCK = 1_000
+
+
+def _left_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """p and q from left(key, cls, n, at, component): all that may link, by blocks of a key's rows.
+
+    The common n-grams of two sets from a key on are no more than either has left, so of the two shares n / (n - at) at least one is no more than half
+    of 1 + 100 / percent. p are the rows that meet this, q all rows: sets that share a hot n-gram, but hold too much else before it, are never paired with each other."""
+    light = 2 * percent * F.col("n") <= (100 + percent) * (F.col("n") - F.col("at"))
+    left = left.withColumn("light", light)
+    size = left.groupBy("key").agg(F.ceil(F.count_if("light") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")).filter("rows > 0")
+    dealt = left.join(size, "key")
+    block = lambda k: F.pmod(F.xxhash64("cls", F.lit(k)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    p = dealt.filter("light").withColumn("i", block("rows")).withColumn("j", every("columns")).drop("rows", "columns")
+    q = dealt.withColumn("j", block("columns")).withColumn("i", every("rows")).drop("rows", "columns")
+    p, q = p.alias("p"), q.alias("q")
+    same = (F.col("p.key") == F.col("q.key")) & (F.col("p.i") == F.col("q.i")) & (F.col("p.j") == F.col("q.j"))
+    return p.join(q, same & (~F.col("q.light") | (F.col("p.cls") < F.col("q.cls"))))
+
+
+def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, classes and groups: (doc_id, h, n_shingles, cls), a row for each row of docs, h being a hash of the text; (cls, n, label, least), a row for
+    each different set, with its documents; (label, n, least), a row for each group of sets that chains of similar ones link. least is a group's first document, as
+    (no_id, doc_id, h): the smallest id, null last, then h.
 
     Exact up to collisions of hashes of about 50 bits within a pair, more where there are more fragments. Null and
-    empty texts have no shingles and a null label. Ids may be null or repeat: rows count, not ids. No pairs are made
+    empty texts have no shingles and a null class. Ids may be null or repeat: rows count, not ids. No pairs are made
     within a component: a few rounds ask one pivot of each n-gram's sets, by size, and only then are sets that still
     lie in different components, share a prefix n-gram and are alike in size paired one by one."""
     spark = docs.sparkSession
@@ -363,8 +387,9 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
     parcels = dealt.filter("bucket is not null").select("part", "bucket", "cls", "n", "lens", "blob")
     sets = table(parcels.repartitionById(fragments, F.col("bucket")).mapInArrow(_sets(percent), "cls long, n int, parts array<int>, lens array<int>, blob binary"))
     posts = table(sets.mapInArrow(_prefixes(percent), "key long, cls long, n int, at int"))
-    links, tested, labels = None, None, None
+    tested, labels = None, None
     for r in range(len(PIVOTS) + 1):
+        left = None
         now = posts if labels is None else posts.join(labels, posts.cls == labels.node, "left").drop("node")
         p = now.withColumn("component", F.col("cls") if labels is None else F.coalesce("component", "cls")).alias("p")
         if r == 0:
@@ -381,40 +406,46 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
                 pivots = left.filter("component = most").withColumn("bin", bins).groupBy("key", "bin").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"))
                 met = left.filter("component != most").alias("p").join(pivots.select("key", "q.*").alias("q"), "key")
             else:
-                p, q = left.alias("p"), left.alias("q")
-                met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.cls") < F.col("q.cls")))
+                met = _left_pairs(left, percent)
         shared = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))
         enough = shared * (100 + percent) >= percent * (F.col("p.n") + F.col("q.n"))
-        pairs = met.filter((F.col("p.component") != F.col("q.component")) & _alike(F.col("p.n"), F.col("q.n"), percent) & enough).select(*_pair("p", "q")).distinct()
+        pairs = met.filter((F.col("p.component") != F.col("q.component")) & _alike(F.col("p.n"), F.col("q.n"), percent) & enough)
+        # a pivot is in many pairs, so the other one's fragments are asked; where there is no pivot, either one's
+        by = F.when(F.pmod(F.xxhash64("p.cls", "q.cls"), F.lit(2)) == 0, F.col("q.cls")).otherwise(F.col("p.cls")) if r == len(PIVOTS) else F.col("p.cls")
+        pairs = pairs.select(*_pair("p", "q"), by.alias("by")).groupBy("a", "b", "n_a", "n_b").agg(F.min("by").alias("by"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table(pairs)
         if not pairs.take(1):
+            drop(left, pairs)
             continue
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         found = table(_linked(pairs, sets, fragments, percent, r > 0))
-        links = found if links is None else links.unionByName(found)
-        stars = links if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        stars = found if labels is None else found.unionByName(labels.select(F.col("node").alias("u"), F.col("component").alias("v")))
         labels = components(stars)
-    if labels is None:
-        return rows.withColumn("label", F.col("cls")).drop("cls")
-    return rows.join(labels, rows.cls == labels.node, "left").select("doc_id", "h", "n_shingles", F.coalesce("component", "cls").alias("label"))
+        drop(left, found)
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("first"))
+    classes = classes.withColumn("label", F.col("cls")) if labels is None else classes.join(labels, classes.cls == labels.node, "left").withColumn("label", F.coalesce("component", "cls")).drop("node", "component")
+    classes = table(classes)
+    groups = table(classes.groupBy("label").agg(F.count("*").alias("n"), F.min("first").alias("least")))
+    named = table(spread_join(classes.select("cls", "label", F.col("n").alias("held")), groups, "label", "cls", classes.count()).withColumnRenamed("held", "n"))
+    drop(sets, posts, classes)
+    return rows, named, groups
 
 
 def similar_components(docs: DataFrame, **more) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links reach, the document's own included."""
-    found = linked_documents(docs, **more)
-    least = found.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "label", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, named, _ = linked_documents(docs, **more)
+    found = spread_join(rows, named.select("cls", "n", "least"), "cls", "doc_id", rows.count(), "left")
+    return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs, of each group of linked ones only that of the smallest id (null last), then text hash; documents without words stay."""
-    found = table(linked_documents(docs, id_col=id_col, text_col=text_col, **more))
-    first = found.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("m"))
-    keep = first.select(F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__h"))
+    _, _, groups = linked_documents(docs, id_col=id_col, text_col=text_col, **more)
+    keep = groups.select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
     marked = docs.withColumn("__h", F.xxhash64(text_or_empty(F.col(text_col))))
     empty = F.length(F.regexp_replace(text_or_empty(F.col(text_col)), r"[\x20\x09-\x0D]+", "")) == 0
     held = marked.filter(~empty).join(keep.withColumnRenamed("__h", "__kept"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__kept")))
-    once = held.withColumn("__nth", F.row_number().over(Window.partitionBy(F.col("__kept"), F.col("__id")).orderBy("__h"))).filter("__nth = 1")
+    once = held.dropDuplicates(["__id", "__kept"])
     return once.select(*docs.columns).unionByName(marked.filter(empty).select(*docs.columns))

@@ -85,6 +85,24 @@ def test_jaccard_chains_need_the_pairs_that_pivots_miss(spark):
     assert got == {0}
 
 
+def test_jaccard_with_hot_n_grams(spark):
+    """Sets that share one passage, as much of them as must be paired one by one, in blocks of few rows; and many copies, repeated and null ids."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [" ".join([*[f"u{i}_{j}" for j in range(r.choice((0, 2, 9, 12, 14, 30)))], *passage[r.randrange(4) :], f"v{i}"]) for i in range(70)] + [" ".join(passage)] * 30
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    before, jaccard.BLOCK, pivots, jaccard.PIVOTS = jaccard.BLOCK, 5, jaccard.PIVOTS, (1,)
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(d).collect()}
+        kept = {r.doc_id for r in jaccard.one_of_each(d.withColumn("doc_id", F.when(F.col("doc_id") < 95, F.col("doc_id")))).collect()}
+    finally:
+        jaccard.BLOCK, jaccard.PIVOTS = before, pivots
+    sets = sets_of(d.collect())
+    want = groups(sets)
+    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    assert kept == {i for i, c in want.items() if i == c}
+
+
 def test_one_of_each(spark, docs):
     own = numbered(docs)
     want = {i for i, c in groups(sets_of(own.collect())).items() if i == c}
