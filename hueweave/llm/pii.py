@@ -11,10 +11,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import sliced, table, text_or_empty
+from hueweave.llm.common import drop, sliced, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # A run's start is the only place where a match can start, so runs are taken whole and never tried again from within.
@@ -27,7 +28,7 @@ _TERM = re.compile(r"\b[^\W\d_]{3,}\b")
 _WORD_CHAR = re.compile(r"\w")
 #: Rows of a batch that tasks make.
 ROWS = 100_000
-#: Bits, as a power of two, of the map of texts that may be repeated.
+#: Bits, as a power of two, of a map of hashes that all tasks hold: two megabytes.
 MARKS = 24
 
 
@@ -94,23 +95,40 @@ def entities(t: str, spans: list[tuple[int, int, int]]) -> set[int]:
     return {_hash(_entity(t, x)) for x in spans}
 
 
-def contexts(t: str, wanted: frozenset | None = None) -> Iterator[tuple[int, str]]:
+def contexts(t: str, wanted: Callable[[int], bool] | None = None) -> Iterator[tuple[int, str]]:
     """(entity, term) for the different entities of a text, or the wanted ones of them, and all its terms."""
     spans = base_spans(t)
     own = entities(t, spans) if spans else set()
-    own = own if wanted is None else own & wanted
+    own = own if wanted is None else set(filter(wanted, own))
     if own:
         terms = words_beside(t, spans)
         yield from ((e, x) for e in own for x in terms)
 
 
-def _marked(spark: SparkSession, hashes: DataFrame) -> Callable[[int], bool]:
-    """Whether a hash may be among hashes: true for all that are, and for few others. A map of 2**MARKS bits, which all tasks hold."""
-    bits = np.zeros(1 << MARKS - 3, np.uint8)
-    for r in hashes.select((F.col("around").bitwiseAND((1 << MARKS) - 1)).alias("bit")).distinct().toLocalIterator():
-        bits[r.bit >> 3] |= 1 << (r.bit & 7)
-    shared = spark.sparkContext.broadcast(bits.tobytes())
-    return lambda h: bool(shared.value[(h & (1 << MARKS) - 1) >> 3] >> (h & 7) & 1)
+def term_hash(term: str) -> int:
+    """xxhash64 of Spark."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42)
+
+
+def _marked(hashes: DataFrame) -> Callable[[int], bool]:
+    """Whether a number may be among those of the one column of hashes: true for all that are, and for few others. A map of 2**MARKS bits, which all tasks hold, whatever the number of hashes."""
+    h = F.col(hashes.columns[0]).bitwiseAND((1 << MARKS) - 1)
+    words = np.zeros(1 << MARKS - 6, np.int64)
+    for r in hashes.groupBy(F.shiftright(h, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))")).alias("bits")).toLocalIterator():
+        words[r["at"]] = r["bits"]
+    shared = hashes.sparkSession.sparkContext.broadcast(words.view(np.uint8).tobytes())
+    return lambda x: bool(shared.value[(x & (1 << MARKS) - 1) >> 3] >> (x & 7) & 1)
+
+
+def _words(texts: DataFrame, wanted: Callable[[str], bool]) -> DataFrame:
+    """term, around of the wanted terms of texts(text, around)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            rows = [(x, h) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in words_beside(t, base_spans(t)) if wanted(x)]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["term", "around"])
+
+    return texts.mapInArrow(run, "term string, around long")
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = 0.9, support: int = 5, held_terms: int = 200_000) -> DataFrame:
@@ -119,9 +137,9 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     Entities are the base values; an entity and a term co-occur where a text holds both, however far apart. n(e, t) counts
     different texts that hold both, n(e) those that hold e, n(t) those that hold t, n all, over the whole table, so copies of
     a text count once; pairs of fewer than `support` texts tell nothing (in a corpus, what stands once beside a value that stands once would seem to disclose it),
-    so entities of fewer are not paired. All counts are sums by key with partial aggregation, so a frequent entity or term
-    does not meet in one task. Entities that have support are held by all tasks in blocks of `held_terms`, one pass for each.
-    Texts are counted for terms of enough support: up to `held_terms` of them by a set that all tasks hold, more by a join."""
+    so entities of fewer are not paired: all tasks hold a map of bits of those that have support, and what passes it by chance goes in a join. All counts are sums
+    by key with partial aggregation, so a frequent entity or term does not meet in one task. Texts are counted for terms of enough support: up to `held_terms` of
+    them by a set that all tasks hold, more by a map of bits and a join, with the same result."""
     spark = docs.sparkSession
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,27 +150,18 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("around")).filter("text is not null")
     likely = texts.filter(F.col("text").rlike("[0-9@]"))
     alone = table(likely.mapInArrow(named, "entity long, around long").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= support))
-    blocks: list[list[int]] = [[]]
-    for r in alone.select("entity").toLocalIterator():
-        if len(blocks[-1]) == max(1, held_terms):
-            blocks.append([])
-        blocks[-1].append(r.entity)
-    near = None
-    for block in filter(None, blocks):
-        wanted = spark.sparkContext.broadcast(frozenset(block))
-
-        def paired(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches):
-                for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    rows = contexts(t, wanted.value)
-                    while some := list(islice(rows, ROWS)):
-                        yield pa.record_batch([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.string()), pa.array([h] * len(some), pa.int64())], names=["entity", "term", "around"])
-
-        more = likely.mapInArrow(paired, "entity long, term string, around long")
-        near = more if near is None else near.unionByName(more)
-    if near is None:
+    if not alone.take(1):
         return spark.createDataFrame([], "term string")
-    near = table(near.distinct())
+    supported = _marked(alone.select("entity"))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = contexts(t, supported)
+                while some := list(islice(rows, ROWS)):
+                    yield pa.record_batch([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.string()), pa.array([h] * len(some), pa.int64())], names=["entity", "term", "around"])
+
+    near = table(likely.mapInArrow(paired, "entity long, term string, around long").distinct())
     hashes = table(texts.groupBy("around").agg(F.count("*").alias("copies")))
     n = hashes.count()
     pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest("n_t", "n_et")))
@@ -161,12 +170,13 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     some = near.groupBy("term", "around").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     pairs = table(pairs.join(alone, "entity").join(some, "term").filter(enough).drop("n_t"))
-    empty = pairs.select("term").limit(0)
-    n_terms = pairs.select("term").distinct().count()
-    if not n_terms:
-        return empty
+    drop(near, alone)
     wanted = pairs.select("term").distinct()
-    repeated = _marked(spark, hashes.filter("copies > 1"))
+    n_terms = wanted.count()
+    if not n_terms:
+        return pairs.select("term").limit(0)
+    repeated = _marked(hashes.filter("copies > 1").select("around"))
+    drop(hashes)
     if n_terms <= held_terms:
         held = spark.sparkContext.broadcast(frozenset(r.term for r in wanted.toLocalIterator()))
 
@@ -185,18 +195,14 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
 
         counts = texts.mapInArrow(hold, "term string, around long, n long")
     else:
-
-        def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches):
-                for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    terms = list(words_beside(t, base_spans(t)))
-                    yield pa.record_batch([pa.array(terms, pa.string()), pa.array([h] * len(terms), pa.int64())], names=["term", "around"])
-
-        counts = texts.mapInArrow(every, "term string, around long").join(wanted, "term", "left_semi").withColumn("n", F.lit(1))
+        among = _marked(wanted.select(F.xxhash64("term").alias("h")))
+        counts = _words(texts, lambda x: among(term_hash(x))).join(wanted, "term", "left_semi").withColumn("n", F.lit(1))
     # one row a term for texts that stand once, and one a term and text for those that may be repeated
     counts = counts.groupBy("term", "around").agg(F.sum("n").alias("n"))
     n_t = counts.groupBy("term").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
-    return table(pairs.join(n_t, "term").filter(enough).select("term").distinct())
+    out = table(pairs.join(n_t, "term").filter(enough).select("term").distinct())
+    drop(pairs)
+    return out
 
 
 def term_spans(t: str, terms: frozenset) -> list[tuple[int, int, int]]:
@@ -220,38 +226,40 @@ def sanitised(t: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, t[at:]])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, block: int = 100_000, keep: list[str] | None = None, **corpus) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None, most: int = 100_000, keep: list[str] | None = None, **corpus) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text (sanitised): one row for each row of docs.
 
     keep names further columns to carry. Null texts count as empty and come back empty. terms: see disclosing_terms, which is
-    asked by default. Terms are broadcast in blocks of `block`, one pass of the same scan for each, so no size is assumed."""
+    asked by default. Up to `most` terms are broadcast; of more, each text's own are found by a map of bits and a join, and joined with the text."""
     spark = docs.sparkSession
     found = disclosing_terms(docs, text_col, **corpus) if terms is None else terms
-    blocks: list[list[str]] = [[]]
-    for r in found.toLocalIterator():
-        if len(blocks[-1]) == block:
-            blocks.append([])
-        blocks[-1].append(r.term)
-    held = [spark.sparkContext.broadcast(frozenset(b)) for b in blocks if b]
     keep = keep or []
     own = docs.select(F.col(id_col).alias("__id"), text_or_empty(F.col(text_col)).alias("__text"), *[F.col(c) for c in keep])
     types = {f.name: f.dataType.simpleString() for f in own.schema}
     schema = ", ".join([f"`__id` {types['__id']}", "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, `__text` string", *[f"`{c}` {types[c]}" for c in keep]])
+    if few := found.count() <= most:
+        held = spark.sparkContext.broadcast(frozenset(r.term for r in found.toLocalIterator()))
+    else:
+        among = _marked(found.select(F.xxhash64("term").alias("h")))
+        texts = own.select(F.col("__text").alias("text"), F.xxhash64("__text").alias("around"))
+        hits = _words(texts, lambda x: among(term_hash(x))).distinct().join(found, "term", "left_semi").groupBy("around").agg(F.collect_list("term").alias("__terms"))
+        own = own.withColumn("__around", F.xxhash64("__text")).join(hits.withColumnRenamed("around", "__around"), "__around", "left").select("__id", "__text", *keep, "__terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             counts, sha, all_, text = [[], [], [], []], [], [], []
-            for t in b.column(1).to_pylist():
+            own_terms = [held.value] * b.num_rows if few else [frozenset(x or ()) for x in b.column(2 + len(keep)).to_pylist()]
+            for t, some in zip(b.column(1).to_pylist(), own_terms, strict=True):
                 base = base_spans(t)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in base))
                 sha.append(hashlib.sha256(told(base).encode()).hexdigest())
-                more = sorted({x for h in held for x in term_spans(t, h.value)})
+                more = term_spans(t, some) if some else []
                 more = [x for x in more if not any(s < x[2] and x[0] < e for s, _, e in base)] if base else more
                 spans = sorted(base + more)
                 all_.append(told(spans))
                 text.append(sanitised(t, spans) if spans else t)
-            cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha), pa.array(all_), pa.array(text), *(b.column(2 + i) for i in range(len(keep)))]
+            cols = [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(sha, pa.string()), pa.array(all_, pa.string()), pa.array(text, pa.string()), *(b.column(2 + i) for i in range(len(keep)))]
             yield pa.record_batch(cols, names=["__id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "__text", *keep])
 
     return own.mapInArrow(run, schema)
