@@ -28,6 +28,8 @@ _TERM = re.compile(r"\b[^\W\d_]{3,}\b")
 _WORD_CHAR = re.compile(r"\w")
 #: Rows of a batch that tasks make.
 ROWS = 100_000
+#: One text in so many, by its hash, tells which terms are too frequent before all texts are counted.
+PART = 16
 #: Bits, as a power of two, of a map of hashes that all tasks hold: two megabytes.
 MARKS = 24
 
@@ -171,7 +173,14 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     pairs = table(pairs.join(alone, "entity").join(some, "term").filter(enough).drop("n_t"))
     drop(near, alone)
+    # so would what fails by one text in PART
     wanted = pairs.select("term").distinct()
+    part = texts.filter(F.pmod(F.shiftright("around", 8), F.lit(PART)) == 0).dropDuplicates(["around"])
+    among = _marked(wanted.select(F.xxhash64("term").alias("h")))
+    held_there = _words(part, lambda x: among(term_hash(x))).groupBy("term").agg(F.count("*").alias("n_t"))
+    fewer = table(pairs.join(held_there, "term", "left").withColumn("n_t", F.coalesce("n_t", F.lit(0))).filter(enough).drop("n_t"))
+    drop(pairs)
+    pairs, wanted = fewer, fewer.select("term").distinct()
     n_terms = wanted.count()
     if not n_terms:
         return pairs.select("term").limit(0)
@@ -183,23 +192,23 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
         def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
             for b in sliced(batches):
-                row: list[tuple[str, int]] = []
+                row: list[tuple[list[str], int]] = []
                 for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     if terms := held.value & words_beside(t, base_spans(t)):
                         if repeated(h):
-                            row += [(x, h) for x in terms]
+                            row.append((sorted(terms), h))
                         else:
                             found.update(terms)
-                yield pa.record_batch([pa.array([r[0] for r in row], pa.string()), pa.array([r[1] for r in row], pa.int64()), pa.array([1] * len(row), pa.int64())], names=["term", "around", "n"])
-            yield pa.record_batch([pa.array(list(found), pa.string()), pa.nulls(len(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["term", "around", "n"])
+                yield pa.record_batch([pa.array([r[0] for r in row], pa.list_(pa.string())), pa.array([r[1] for r in row], pa.int64()), pa.array([1] * len(row), pa.int64())], names=["terms", "around", "n"])
+            yield pa.record_batch([pa.array([[x] for x in found], pa.list_(pa.string())), pa.nulls(len(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["terms", "around", "n"])
 
-        counts = texts.mapInArrow(hold, "term string, around long, n long")
+        counts = texts.mapInArrow(hold, "terms array<string>, around long, n long")
     else:
         among = _marked(wanted.select(F.xxhash64("term").alias("h")))
-        counts = _words(texts, lambda x: among(term_hash(x))).join(wanted, "term", "left_semi").withColumn("n", F.lit(1))
-    # one row a term for texts that stand once, and one a term and text for those that may be repeated
-    counts = counts.groupBy("term", "around").agg(F.sum("n").alias("n"))
-    n_t = counts.groupBy("term").agg(F.sum(F.when(F.col("around").isNull(), F.col("n")).otherwise(1)).alias("n_t"))
+        counts = _words(texts, lambda x: among(term_hash(x))).join(wanted, "term", "left_semi").select(F.array("term").alias("terms"), "around", F.lit(1).alias("n"))
+    # rows without a text are sums over texts that stand once; of one that may be repeated, one row counts
+    counts = counts.groupBy("terms", "around").agg(F.sum("n").alias("n")).select(F.explode("terms").alias("term"), F.when(F.col("around").isNull(), F.col("n")).otherwise(1).alias("n"))
+    n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
     out = table(pairs.join(n_t, "term").filter(enough).select("term").distinct())
     drop(pairs)
     return out
