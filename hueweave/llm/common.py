@@ -82,16 +82,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, key: str, salt_by: str, total: int, how: str = "inner", hot: int = 1_000, salts: int = 32) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, key: str | list[str], salt_by: str, total: int, how: str = "inner", hot: int = 1_000, salts: int = 32) -> DataFrame:
     """rows joined with groups(key, n, ...) by key, n being the key's rows; a key of more than a 1/hot of all rows, and null, is dealt to `salts` tasks.
 
     There can be no more than `hot` such keys, which bounds what is broadcast. The column n goes."""
-    large = groups.filter(F.col("n") * hot > total)
-    keys = F.broadcast(large.select(key, F.lit(True).alias("__hot")))
-    many = F.when(F.col("n") * hot > total, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = groups.withColumn("__salt", F.explode(many)).drop("n")
-    salt = F.when(F.col("__hot") | F.col(key).isNull(), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    return rows.join(keys, key, "left").withColumn("__salt", salt).drop("__hot").join(salted, [key, "__salt"], how).drop("__salt")
+    key = [key] if isinstance(key, str) else key
+    large = F.col("n") * hot > total
+    keys = F.broadcast(groups.filter(large).select(*key, F.lit(True).alias("__hot")).distinct())
+    salted = groups.withColumn("__salt", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    salt = F.when(F.col("__hot") | F.col(key[0]).isNull(), F.pmod(F.xxhash64(salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    return rows.join(keys, key, "left").withColumn("__salt", salt).drop("__hot").join(salted, [*key, "__salt"], how).drop("__salt")
 
 
 def text_or_empty(text: Column) -> Column:

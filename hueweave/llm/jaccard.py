@@ -21,8 +21,8 @@ from hueweave.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.uint64((1 << 48) - 1)
-#: Bytes of text of a fragment: some four million n-grams.
-FRAGMENT_BYTES = 20 << 20
+#: Bytes of text of a fragment: some three million n-grams.
+FRAGMENT_BYTES = 14 << 20
 #: Pivots of an n-gram in each round, before the pairs that are left are taken one by one. In the first the pivot of a group of near copies is the
 #: same for all its n-grams, which makes the group one star; later the sets outside the component that most sets of an n-gram lie in are
 #: held against so many of that component.
@@ -355,8 +355,8 @@ def _left_pairs(left: DataFrame, percent: int) -> DataFrame:
     of 1 + 100 / percent. p are the rows that meet this, q all rows: sets that share a hot n-gram, but hold too much else before it, are never paired with each other."""
     light = 2 * percent * F.col("n") <= (100 + percent) * (F.col("n") - F.col("at"))
     left = left.withColumn("light", light)
-    size = left.groupBy("key").agg(F.ceil(F.count_if("light") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")).filter("rows > 0")
-    dealt = left.join(size, "key")
+    size = left.groupBy("key").agg(F.count("*").alias("n_key"), F.ceil(F.count_if("light") / BLOCK).cast("int").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("columns")).filter("rows > 0")
+    dealt = spread_join(left.withColumnRenamed("n", "size"), size.withColumnRenamed("n_key", "n"), "key", "cls", left.count()).withColumnRenamed("size", "n")
     block = lambda k: F.pmod(F.xxhash64("cls", F.lit(k)), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     p = dealt.filter("light").withColumn("i", block("rows")).withColumn("j", every("columns")).drop("rows", "columns")
@@ -396,15 +396,18 @@ def linked_documents(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str
             # sizes within a factor of 4/3 share a band
             band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
             p = p.withColumn("band", band).alias("p")
-            first = p.groupBy("key", "band").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"), F.count("*").alias("held")).filter("held > 1")
-            met = p.join(first.select("key", "band", "q.*").alias("q"), ["key", "band"])
+            first = p.groupBy("key", "band").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"), F.count("*").alias("n")).filter("n > 1")
+            met = spread_join(p.select("key", "band", F.struct("cls", "n", "at", "component").alias("p"), "cls"), first, ["key", "band"], "cls", posts.count())
         else:
-            apart = p.groupBy("key", "component").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("component", "held").alias("most"), F.count("*").alias("apart")).filter("apart > 1")
-            left = table(p.join(apart.select("key", "most"), "key"))
+            apart = p.groupBy("key", "component").agg(F.count("*").alias("held")).groupBy("key").agg(F.max_by("component", "held").alias("most"), F.sum("held").alias("held"), F.count("*").alias("apart")).filter("apart > 1")
+            named = spread_join(p.withColumnRenamed("n", "size"), apart.select("key", "most", F.col("held").alias("n")), "key", "cls", posts.count()).withColumnRenamed("size", "n")
+            left = table(named)
             if r < len(PIVOTS):
                 bins = F.pmod(F.xxhash64("cls", "key", F.lit(r)), F.lit(PIVOTS[r]))
                 pivots = left.filter("component = most").withColumn("bin", bins).groupBy("key", "bin").agg(F.min(F.struct("cls", "n", "at", "component")).alias("q"))
-                met = left.filter("component != most").alias("p").join(pivots.select("key", "q.*").alias("q"), "key")
+                asking = left.filter("component != most")
+                pivots = pivots.join(asking.groupBy("key").agg(F.count("*").alias("n")), "key").drop("bin")
+                met = spread_join(asking.select("key", F.struct("cls", "n", "at", "component").alias("p"), "cls"), pivots, "key", "cls", left.count())
             else:
                 met = _left_pairs(left, percent)
         shared = F.least(F.col("p.n") - F.col("p.at"), F.col("q.n") - F.col("q.at"))
