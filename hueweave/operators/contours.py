@@ -39,10 +39,10 @@ def _owned(graph: list[list[int]], color: np.ndarray, palette: np.ndarray, keepe
     return [best[i][2] if i in best else i for i in range(len(graph))]
 
 
-def _split(ids: np.ndarray, facet: int, eligible: set[int], color: np.ndarray, palette: np.ndarray) -> dict[tuple[int, int], int]:
-    """Pixels of a large facet, each to the neighbour that reaches it first from the border, then the nearest in colour, then the least id."""
+def _split(ids: np.ndarray, facet: int, pixels: np.ndarray, eligible: set[int], color: np.ndarray, palette: np.ndarray) -> dict[tuple[int, int], int]:
+    """A large facet's pixels (places in the flat raster), each to the neighbour that reaches it first from the border, then the nearest in colour, then the least id."""
     h, w = ids.shape
-    own = {(y, x) for y, x in zip(*np.nonzero(ids == facet), strict=True)}
+    own = {divmod(p, w) for p in pixels.tolist()}
     change = {n: int(((palette[color[facet]] - palette[color[n]]) ** 2).sum()) for n in eligible}
     near = lambda y, x: [(y + b, x + a) for a, b in ((-1, 0), (0, -1), (1, 0), (0, 1)) if 0 <= x + a < w and 0 <= y + b < h]
     heap = [(1, change[ids[q]], int(ids[q]), p) for p in own for q in near(*p) if ids[q] in eligible]
@@ -78,14 +78,19 @@ def reduce_grid(grid: np.ndarray, palette: np.ndarray, s: Settings) -> np.ndarra
             grid = color[_owned(graph, color, palette, keepers)][ids]
             continue
         protected, new = set(small.tolist()), grid.copy()
+        far, tone, size = ((palette[:, None] - palette[None]) ** 2).sum(axis=2).tolist(), color.tolist(), count.tolist()
+        # pixels by facet, so that a facet costs its own pixels and not the canvas
+        flat, order, ends = new.reshape(-1), np.argsort(ids, axis=None, kind="stable"), np.cumsum(count)
         for f in small.tolist():
+            own = order[ends[f] - count[f] : ends[f]]
             eligible = [n for n in graph[f] if n not in protected] or [n for n in graph[f] if n > f]
             if not eligible:
                 continue
-            if len(eligible) == 1 or count[f] <= 64:
-                new[ids == f] = color[min(eligible, key=lambda n: (int(((palette[color[f]] - palette[color[n]]) ** 2).sum()), n))]
+            if len(eligible) == 1 or size[f] <= 64:
+                near = far[tone[f]]
+                flat[own] = tone[min(eligible, key=lambda n: (near[tone[n]], n))]
             else:
-                for p, owner in _split(ids, f, set(eligible), color, palette).items():
+                for p, owner in _split(ids, f, own, set(eligible), color, palette).items():
                     new[p] = color[owner]
         if (new == grid).all():
             return grid
@@ -145,8 +150,27 @@ def _distance(x: float, y: float, rings: list[np.ndarray]) -> float:
     return math.sqrt(best) * (1 if inside else -1)
 
 
+def _centroid(ring: np.ndarray) -> tuple[float, float]:
+    """The centre of mass of a ring's area, or its first point where it has none."""
+    after = np.roll(ring, -1, axis=0)
+    cross = ring[:, 0] * after[:, 1] - after[:, 0] * ring[:, 1]
+    if abs(cross.sum()) < 1e-12:
+        return float(ring[0, 0]), float(ring[0, 1])
+    x, y = ((ring + after) * cross[:, None]).sum(axis=0) / (3 * cross.sum())
+    return float(x), float(y)
+
+
+def outer_first(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The ring of the largest area first, of equal ones the last."""
+    size = [abs(float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum())) for r in rings]
+    outer = max(range(len(rings)), key=lambda i: (size[i], i))
+    return [rings[outer], *rings[:outer], *rings[outer + 1 :]]
+
+
 def inmost(rings: list[np.ndarray], precision: float = 1.0) -> tuple[float, float, float]:
-    """The point farthest from the polygon's edges, to within `precision`: cells are split while they could hold a better one."""
+    """The point farthest from the polygon's edges, to within `precision`: cells are split while they could hold a better one.
+
+    The outer ring's centroid stands, then the middle of its bounds, until something is better by itself."""
     lo, hi = rings[0].min(axis=0), rings[0].max(axis=0)
     size = float(min(hi - lo))
     if size <= 0:
@@ -155,8 +179,7 @@ def inmost(rings: list[np.ndarray], precision: float = 1.0) -> tuple[float, floa
     half = size / 2
     queue = [cell(float(x) + half, float(y) + half, half) for x in np.arange(lo[0], hi[0], size) for y in np.arange(lo[1], hi[1], size)]
     heapq.heapify(queue)
-    centre = cell(*((lo + hi) / 2).tolist(), 0.0)
-    best = max([centre, *queue], key=lambda c: c[4])
+    best = max(cell(*_centroid(rings[0]), 0.0), cell(*((lo + hi) / 2).tolist(), 0.0), key=lambda c: c[4])
     while queue:
         c = heapq.heappop(queue)
         if c[4] > best[4]:
@@ -178,7 +201,7 @@ def labels(loops_: DataFrame, stats: DataFrame) -> DataFrame:
         out = []
         for f, own in rows.sort_values("loop_id").groupby("facet_id"):
             rings = [np.stack([np.asarray(x, float), np.asarray(y, float)], 1) for x, y in zip(own["xs"], own["ys"], strict=True)]
-            out.append((own["image_id"].iloc[0], f, *inmost(rings)))
+            out.append((own["image_id"].iloc[0], f, *inmost(outer_first(rings))))
         return pd.DataFrame(out, columns=["image_id", "facet_id", "px", "py", "d"])
 
     at = loops_.select("image_id", "facet_id", "loop_id", "xs", "ys").groupBy("image_id").applyInPandas(run, "image_id long, facet_id int, px double, py double, d double")

@@ -201,15 +201,18 @@ def bucket_sizes(spark, d):
 
 def _runs(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), F.col("user_id").alias("total_ms"), (F.col("event_id") % 97).alias("render_ms"), (F.col("event_id") % 2).alias("half"))
-    return benchmarks.summary(e.filter("half = 0"), "name", ["total_ms", "render_ms"], "total_ms"), benchmarks.summary(e.filter("half = 1"), "name", ["total_ms", "render_ms"], "total_ms")
+    return e, lambda rows: benchmarks.summary(rows, "name", ["total_ms", "render_ms"], "total_ms")
 
 
 def benchmark_summary(spark, d):
-    return _runs(spark, d)[0]
+    runs, summary = _runs(spark, d)
+    return summary(runs)
 
 
 def baseline_delta(spark, d):
-    return benchmarks.delta(*_runs(spark, d), "name", ["min_total_ms", "max_total_ms"])
+    """Two series of runs, those of even events and those of odd ones, held against each other."""
+    runs, summary = _runs(spark, d)
+    return benchmarks.delta(summary(runs.filter("half = 0")), summary(runs.filter("half = 1")), "name", ["min_total_ms", "max_total_ms"])
 
 
 QUERIES = (pixel_chop, color_histogram, distinct_colors, nearest_centroid, kmeans_palette, restricted_palette, indexed_pixels, palette_frequency, strip_cleanup_1, strip_cleanup_3, facet_map, facet_stats, border_points, adjacency, neighbour_count, removal_plan, kept_facets_topk, fastpath_owner, reduce_round_1, boundary_steps, boundary_length, resize_dims, reduced_facets, loops_area, signed_facet_area, smoothed_paths, filled_facets, filled_smoothed, border_stage, label_stage, label_bounds, preview_labels, svg_documents, facet_summary, bucket_sizes, benchmark_summary, baseline_delta)
@@ -283,7 +286,7 @@ _D = " , ".join(f"struct_pack(d := (r-{p[0]})*(r-{p[0]})+(g-{p[1]})*(g-{p[1]})+(
 _R = " , ".join(f"struct_pack(d := (p.r-{c[0]})*(p.r-{c[0]})+(p.g-{c[1]})*(p.g-{c[1]})+(p.b-{c[2]})*(p.b-{c[2]}), k := {i}, r := {c[0]}, g := {c[1]}, b := {c[2]})" for i, c in enumerate(RESTRICTED))
 
 
-_SUMMARY = "SELECT event_type AS name, round(avg(user_id), 2) AS average_total_ms, round(avg(event_id % 97), 2) AS average_render_ms, min(user_id) AS min_total_ms, max(user_id) AS max_total_ms FROM events WHERE event_id % 2 = {half} GROUP BY event_type"
+_SUMMARY = "SELECT event_type AS name, round(avg(user_id), 2) AS average_total_ms, round(avg(event_id % 97), 2) AS average_render_ms, min(user_id) AS min_total_ms, max(user_id) AS max_total_ms FROM events{of} GROUP BY event_type"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -314,7 +317,7 @@ def oracle_sql() -> dict[str, str]:
         "border_stage": f"{FACETS}, bp AS (SELECT DISTINCT image_id, x, y FROM stp), pc AS (SELECT image_id, x, y, color_index // 8 * 64 AS r, color_index // 2 % 4 * 64 AS g, color_index % 2 * 128 AS b FROM f) SELECT pc.image_id, pc.x, pc.y, " + ", ".join(f"CAST(CASE WHEN bp.x IS NOT NULL THEN 32 ELSE floor(pc.{c} * 0.82 + 45.9 + 0.5) END AS INT) AS {c}" for c in "rgb") + " FROM pc LEFT JOIN bp ON bp.image_id = pc.image_id AND bp.x = pc.x AND bp.y = pc.y",
         "facet_summary": f"{FACETS}, nl AS (SELECT image_id, facet_id, string_agg(CAST(neighbour_id AS VARCHAR), ',' ORDER BY neighbour_id) AS neighbours FROM adj GROUP BY image_id, facet_id) SELECT st.*, coalesce(nl.neighbours, '') AS neighbours FROM st LEFT JOIN nl ON nl.image_id = st.image_id AND nl.facet_id = st.facet_id",
         "bucket_sizes": f"{FACETS} SELECT image_id, CAST(greatest(1, ceil(sqrt((max(max_x) + 1) * (max(max_y) + 1) / greatest(1, count(*))))) AS INT) AS bucket_size FROM st GROUP BY image_id",
-        "benchmark_summary": _SUMMARY.format(half=0),
-        "baseline_delta": f"WITH a AS ({_SUMMARY.format(half=0)}), b AS ({_SUMMARY.format(half=1)}) SELECT a.name, b.min_total_ms - a.min_total_ms AS delta_min_total_ms, b.max_total_ms - a.max_total_ms AS delta_max_total_ms FROM a JOIN b ON b.name = a.name",
+        "benchmark_summary": _SUMMARY.format(of=""),
+        "baseline_delta": f"WITH a AS ({_SUMMARY.format(of=' WHERE event_id % 2 = 0')}), b AS ({_SUMMARY.format(of=' WHERE event_id % 2 = 1')}) SELECT a.name, b.min_total_ms - a.min_total_ms AS delta_min_total_ms, b.max_total_ms - a.max_total_ms AS delta_max_total_ms FROM a JOIN b ON b.name = a.name",
         "resize_dims": "WITH p AS (SELECT p_partkey, CAST(p_size * 97 AS INT) AS w, CAST(p_partkey % 3000 AS INT) AS h FROM part) SELECT p_partkey, CAST(CASE WHEN w > 0 AND h > 0 THEN greatest(1, round(w * least(1.0::DOUBLE, 1024.0::DOUBLE / w, 768.0::DOUBLE / h))) ELSE w END AS INT) AS new_width, CAST(CASE WHEN w > 0 AND h > 0 THEN greatest(1, round(h * least(1.0::DOUBLE, 1024.0::DOUBLE / w, 768.0::DOUBLE / h))) ELSE h END AS INT) AS new_height FROM p",
     }
