@@ -177,7 +177,15 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     wanted = pairs.select("term").distinct()
     part = texts.filter(F.pmod(F.shiftright("around", 8), F.lit(PART)) == 0).dropDuplicates(["around"])
     among = _marked(wanted.select(F.xxhash64("term").alias("h")))
-    held_there = _words(part, lambda x: among(term_hash(x))).groupBy("term").agg(F.count("*").alias("n_t"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for b in sliced(batches):
+            for t in b.column(0).to_pylist():
+                found.update(x for x in words_beside(t, base_spans(t)) if among(term_hash(x)))
+        yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
+    held_there = part.select("text").mapInArrow(sums, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     fewer = table(pairs.join(held_there, "term", "left").withColumn("n_t", F.coalesce("n_t", F.lit(0))).filter(enough).drop("n_t"))
     drop(pairs)
     pairs, wanted = fewer, fewer.select("term").distinct()
