@@ -1,4 +1,4 @@
-"""Token counts and ids of whole texts by white-space chunks: a broadcast table of frequent ones, worker caches for the rest.
+"""Token counts and ids of whole texts by white-space chunks, whose ids worker caches keep; counts begin with a broadcast table of frequent ones.
 
 The tokenizer drops white space and none of its pieces crosses it, so a text's ids are its chunks' ids in a row."""
 
@@ -109,9 +109,9 @@ class Chunks:
 
 
 def _chunks(path: str, frequent, job: str, make, keep: int) -> Chunks:
-    """One cache for each worker process and job; workers are reused from task to task."""
+    """One cache for each worker process and job; workers are reused from task to task. frequent is a broadcast, or None: the cache begins empty."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return held((path, make.__name__, job), lambda: Chunks(path, {w: make(b) for w, b in frequent.value.items()}, make, keep))
+    return held((path, make.__name__, job), lambda: Chunks(path, {w: make(b) for w, b in frequent.value.items()} if frequent else {}, make, keep))
 
 
 def count(ids: bytes) -> int:
@@ -176,13 +176,13 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     A document, with end_id at its end, is cut at falling powers of two; each piece is a sequence of its own, whose
     length is a power of two, so no sequence crosses documents and none has padding. bucket is the power: batches
     draw from one bucket. sequence_id holds partition and place, so it is unique and needs no shuffle.
-    Null texts are empty: one piece of one token. top is a power of two."""
-    spark = docs.sparkSession
-    frequent, job = spark.sparkContext.broadcast(frequent_chunks(docs, path, text_col)), uuid.uuid4().hex
+    Null texts are empty: one piece of one token. top is a power of two. The texts are read once: chunks are not counted
+    beforehand, each worker encodes a frequent one when it first meets it."""
+    job = uuid.uuid4().hex
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _chunks(path, frequent, job, same, keep)
+        chunks = _chunks(path, None, job, same, keep)
         for b in sliced(batches, 200):
             row, start, length, crc, tokens, held = [], [], [], [], [], []
             for k, v in enumerate(chunks.values(b.column(1).to_pylist())):
