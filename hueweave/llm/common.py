@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
+import inspect
 import os
 import tempfile
 import uuid
@@ -94,6 +96,24 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str | list[str], salt_b
     return rows.join(keys, key, "left").withColumn("__salt", salt).drop("__hot").join(salted, [*key, "__salt"], how).drop("__salt")
 
 
+def shielded(stage: Callable) -> Callable:
+    """A stage over docs that never meets the names of columns it does not use (those its *_col parameters do not name), so none can clash with its own."""
+    told = inspect.signature(stage)
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *more, **named) -> DataFrame:
+        given = told.bind(docs, *more, **named)
+        given.apply_defaults()
+        used = {v for k, v in given.arguments.items() if k.endswith("_col")}
+        names = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c not in used}
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        out = stage(docs.select(*[quoted(c).alias(names.get(c, c)) for c in docs.columns]), *more, **named)
+        own = {v: k for k, v in names.items()}
+        return out.select(*[F.col(c).alias(own.get(c, c)) for c in out.columns])
+
+    return run
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

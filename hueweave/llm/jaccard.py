@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import drop, held, release, sliced, spread_join, table, text_or_empty
+from hueweave.llm.common import drop, held, release, shielded, sliced, spread_join, table, text_or_empty
 from hueweave.llm.components import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -440,6 +440,7 @@ def similar_components(docs: DataFrame, **more) -> DataFrame:
     return found.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"))
 
 
+@shielded
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs, of each group of linked ones only that of the smallest id (null last), then text hash; documents without words stay."""
     _, _, groups = linked_documents(docs, id_col=id_col, text_col=text_col, **more)

@@ -176,7 +176,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     pred[i], score[i], rate[i] = langs[j], p, r
             yield pa.record_batch([b.column(0), b.column(1), pa.array(pred), pa.array(score, pa.float64()), pa.array(rate, pa.float64()), *(b.column(3 + i) for i in range(len(keep)))], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte", *[f"__{c}" for c in keep]])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("__own_text"), *[F.col(c).alias(f"__{c}") for c in keep])
+    own = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("own_text"), *[F.col(c).alias(f"__{c}") for c in keep])
     types = {f.name: f.dataType.simpleString() for f in own.schema}
     return own.mapInArrow(run, ", ".join([f"doc_id {types['doc_id']}, held_out boolean, lang_pred string, score double, bits_per_byte double", *[f"`__{c}` {types[f'__{c}']}" for c in keep]]))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import WORD, table, text_or_empty
+from hueweave.llm.common import WORD, shielded, table, text_or_empty
 
 #: Fractional parts of the golden ratio times 1 and times 2^20.
 STEP, LEAP = 0.6180339887498949, (0x9E3779B97F4A7C15 * (1 << 20) % (1 << 64)) / float(1 << 64)
@@ -111,6 +111,7 @@ def mixed_documents(docs: DataFrame, **more) -> DataFrame:
     return pieces.groupBy("doc_id", "key", "h", "bucket", "row", "size", "source_size", "target").agg(F.sum("taken").alias("taken")).select("doc_id", "key", "h", "size", "source_size", "target", "taken")
 
 
+@shielded
 def mixed_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", width: int = 8_192, **more) -> DataFrame:
     """The pieces of the mix as rows of docs, in slot order: texts are the pieces' words, with the white space before them, and chars_col their length.
 

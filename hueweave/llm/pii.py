@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import drop, sliced, table, text_or_empty
+from hueweave.llm.common import drop, shielded, sliced, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # A run's start is the only place where a match can start, so runs are taken whole and never tried again from within.
@@ -287,6 +287,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return find(docs, id_col, text_col, **more).select(F.col("__id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+@shielded
 def sanitised_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **more) -> DataFrame:
     """docs with sanitised texts and, if there is one, the count of characters; null texts stay null."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

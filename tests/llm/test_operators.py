@@ -535,3 +535,34 @@ def test_pipeline(spark):
     first = language.known_language(d)
     assert first.columns == d.columns and first.count() == d.count()
     assert corpus_pipeline.run(spark, D).filter("length > 0").count() > 0
+
+
+CLASHING = "__id __text __null __h __kept __key __slot __first __piece __pieces __words __around __terms __hot __salt own_text n_email spans lang_pred score held_out bits_per_byte slot rank chunk taken target bucket at n length start ids cut term lens blob vec_id block".split()
+
+
+@pytest.mark.parametrize("stage", [language.known_language, jaccard.one_of_each, pii.sanitised_corpus, mixing.mixed_corpus], ids=lambda f: f.__name__)
+def test_stages_keep_columns_of_any_name(docs, empty, stage):
+    """Columns beside those a stage uses come through as they are, whatever their names; null ids, repeated rows and empty tables do no harm."""
+    own = docs.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    got = stage(own)
+    assert got.columns == own.columns and stage(own.filter("false")).count() == 0 == stage(empty).count()
+    rows, n = list(map(tuple, got.collect())), len(docs.columns)
+    assert Counter(r[:n] for r in rows) == Counter(map(tuple, stage(docs).collect()))
+    assert {r[n:] for r in rows} == {tuple(range(len(CLASHING)))}
+
+
+@pytest.mark.parametrize("query", [lambda d: tokens.token_counts(d, queries.vocabulary()), lambda d: tokens.packed(d, queries.vocabulary()).drop("sequence_id"), pii.personal_data, sharding.shards, mixing.mixed_documents, jaccard.similar_components, language.languages], ids=["tokens", "packed", "personal", "shards", "mixed", "similar", "languages"])
+def test_results_do_not_depend_on_other_columns(docs, query):
+    own = docs.withColumns({c: F.lit("7") for c in CLASHING if c not in docs.columns})
+    rows = Counter(map(tuple, query(docs).collect()))
+    assert Counter(map(tuple, query(own).collect())) == rows and query(docs.filter("false")).count() == 0
+    assert rows
+
+
+def test_url_awkward_rows(spark):
+    """Copies, null ids, rules of equal length, very long urls and many segments."""
+    rules = [("block", "x.com/a"), ("allow", "com/ab/c"), ("allow", "x.com/b"), ("block", "x.com/b/")]
+    rows = [(None, "h://x.com/a", "block"), (None, "h://x.com/a", "block"), (1, "h://x.com/ab/c", "allow"), (2, "h://x.com/b/", "block"), (3, "h://x.com/" + "s/" * 300, "allow"), (4, "h://y.com/" + "z" * 100_000, "allow"), (4, "h://y.com/" + "z" * 100_000, "allow"), (5, "h://", "allow")]
+    d = spark.createDataFrame([(i, u, 7, "x") for i, u, _ in rows], "page_id long, url string, labelled int, template string")
+    got = urls.judge(d, rules).collect()
+    assert Counter((r.page_id, r.path, r.verdict) for r in got) == Counter((i, u.split("://")[1][u.split("://")[1].find("/") :] if "/" in u.split("://")[1] else "", v) for i, u, v in rows)
