@@ -50,7 +50,8 @@ def templates(paths: DataFrame, min_children: int = 24, min_spread: float = 0.5,
 
     Level by level, until no path goes on, a node's children are generalised to * where there are min_children of them and
     min_spread of them have no more than 1 / min_spread different paths below, which is how ids and slugs differ from sections;
-    visits do not count, and a child of many paths is but one child. Sibling
+    visits do not count, and a child of many paths is but one child. Below a node of fewer than min_children paths none can
+    be generalised, so these paths end there as they are; only paths that many share go on level by level. Sibling
     templates that differ in one literal then merge: branches whose share of bad labels is within similar_z standard
     errors of that of all siblings together, and of the others those of one fifth of the scale (named with #); branches without labels stay
     apart. Nothing is kept per host in one task: each level is two aggregations and a join on (host, node), written before
@@ -59,11 +60,14 @@ def templates(paths: DataFrame, min_children: int = 24, min_spread: float = 0.5,
     while True:
         done.append(p.filter(F.size("segs") <= level))
         p = p.filter(F.size("segs") > level).withColumn("child", F.col("segs")[level])
-        kids = p.groupBy("host", "node", "child").agg(F.sum("n").alias("n"))
-        kids = kids.groupBy("host", "node").agg(F.count("*").alias("k"), F.count_if(F.col("n") * min_spread <= 1).alias("thin"))
-        wide = kids.filter((F.col("k") >= min_children) & (F.col("thin") >= min_spread * F.col("k"))).select("host", "node", F.lit(True).alias("wide"))
-        step = F.concat(F.lit("/"), F.when(F.col("wide"), F.lit("*")).otherwise(F.col("child")))
-        p = table(p.join(wide, ["host", "node"], "left").withColumn("node", F.concat("node", step)).drop("wide", "child"))
+        kids = p.groupBy("host", "node", "child").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        kids = kids.groupBy("host", "node").agg(F.count("*").alias("k"), F.count_if(F.col("n") * min_spread <= 1).alias("thin"), F.sum("rows").alias("rows"))
+        large = kids.filter(F.col("rows") >= min_children).select("host", "node", ((F.col("k") >= min_children) & (F.col("thin") >= min_spread * F.col("k"))).alias("wide"))
+        rest = F.array_join(F.slice("segs", level + 1, F.size("segs")), "/")
+        step = F.when(F.col("wide").isNull(), rest).when(F.col("wide"), "*").otherwise(F.col("child"))
+        p = table(p.join(large, ["host", "node"], "left").select(*paths.columns, F.concat("node", F.lit("/"), step).alias("node"), F.col("wide").isNull().alias("over")))
+        done.append(p.filter("over").drop("over"))
+        p = p.filter("not over").drop("over")
         level += 1
         if p.isEmpty():
             break
