@@ -38,8 +38,11 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def settings(a: argparse.Namespace) -> Settings:
-    """The file's settings, or defaults; what the command line names wins. A limit of size turns resizing on, --no-resize off."""
-    s = load(Path(a.config).read_text()) if a.config else Settings()
+    """The file's settings, or defaults, also (with a warning) where there is no such file; what the command line names wins. A limit of size turns resizing on, --no-resize off."""
+    there = a.config and Path(a.config).exists()
+    if a.config and not there:
+        log.warning("no settings at %s, defaults are taken", a.config)
+    s = load(Path(a.config).read_text()) if there else Settings()
     named = {k: getattr(a, k) for k in ("kmeans_clusters", "remove_facets_smaller_than", "border_smoothing_passes", "resize_max_width", "resize_max_height") if getattr(a, k) is not None}
     if a.resize or a.resize_max_width is not None or a.resize_max_height is not None:
         named["resize_enabled"] = True
@@ -55,7 +58,7 @@ def formats(text: str) -> list[str]:
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     """All images of the input at once; a file for each format and image, named by image id where there are several."""
     s, began = settings(a), time.perf_counter()
-    images = raster.image_files(spark, a.input)
+    images = raster.image_files(spark, a.input, strict=True)
     if s.resize_enabled:
         images = raster.resized_images(images, s.resize_max_width, s.resize_max_height)
     else:
@@ -68,10 +71,10 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
             data = out.svg.withColumnRenamed("svg", "data")
         elif f == "palette.json":
             data = sinks.palette_json(out.palette)
-        elif f == "quantized.png":
-            data = sinks.png(out.quantized)
-        elif f == "png":
-            data = sinks.png(out.rasterised())
+        elif f in ("quantized.png", "quantized.jpg"):
+            data = (sinks.png if f.endswith("png") else sinks.jpeg)(out.quantized)
+        elif f in ("png", "jpg"):
+            data = (sinks.png if f == "png" else sinks.jpeg)(out.rasterised())
         elif f == "debug.json":
             data = out.debug_json()
         elif f == "profile.json":

@@ -98,7 +98,3 @@ def process(pixels: DataFrame, s: Settings | None = None) -> Output:
         metrics=metrics.join(contour, "image_id", "left"),
         held=[fitted, cleaned, facets, paths],
     )
-
-
-def healthcheck() -> str:
-    return "ok"

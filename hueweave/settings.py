@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 from dataclasses import dataclass, field, fields
 
+log = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -48,6 +51,56 @@ def load(text: str, **override) -> Settings:
     return Settings(**{k: v for k, v in raw.items() if k in known})
 
 
+#: Short names of URL parameters.
+SHORT = {
+    "clusters": "kmeans_clusters",
+    "precision": "kmeans_min_delta",
+    "seed": "random_seed",
+    "cleanup_runs": "narrow_pixel_strip_cleanup_runs",
+    "remove_facets": "remove_facets_smaller_than",
+    "max_facets": "maximum_number_of_facets",
+    "smoothing": "border_smoothing_passes",
+    "resize_width": "resize_max_width",
+    "resize_height": "resize_max_height",
+}
+MAY_BE_ZERO = {"random_seed", "narrow_pixel_strip_cleanup_runs", "border_smoothing_passes"}
+
+
+def number(text: str, default: float, zero: bool = False) -> float:
+    """The number that a text begins with, whole if the default is; the default where there is none, or it is below zero, or zero where that may not be."""
+    found = re.match(r"\s*[+-]?\d+" if isinstance(default, int) else r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text)
+    value = type(default)(found[0]) if found else default
+    return value if 0 < value < float("inf") or zero and value == 0 else default
+
+
+def form(values: dict[str, str]) -> Settings:
+    """Settings from the texts of a form or of URL parameters, by short or full names in either case. What does not parse, or is out of range, keeps its default."""
+    out = {}
+    defaults = {f.name: getattr(Settings(), f.name) for f in fields(Settings)}
+    for k, text in values.items():
+        k = SHORT.get(snake(k), snake(k))
+        default = defaults.get(k)
+        if k == "color_restrictions":
+            out[k] = tuple(c for line in text.splitlines() for c in _colours(line))
+        elif k == "removal_order":
+            out["remove_facets_from_large_to_small"] = text != "small_to_large"
+        elif k == "color_space":
+            out[k] = text or default
+        elif isinstance(default, bool):
+            out[k] = text in ("1", "true")
+        elif isinstance(default, int | float):
+            out[k] = number(text, default, k in MAY_BE_ZERO)
+    return Settings(**out)
+
+
+def _colours(line: str) -> tuple[tuple[int, int, int], ...]:
+    try:
+        return restrictions(line)
+    except ValueError as e:
+        log.warning("%s, skipped", e)
+        return ()
+
+
 def restrictions(text: str) -> tuple[tuple[int, int, int], ...]:
     """Colours from lines r,g,b; blank lines and those that start with // are skipped, others must be three numbers from 0 to 255."""
     out = []

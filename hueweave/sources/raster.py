@@ -49,14 +49,16 @@ def rgba_pixels(images: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, "image_id long, x int, y int, r int, g int, b int, a int")
 
 
-def image_files(spark: SparkSession, path: str) -> DataFrame:
-    """images(image_id, width, height, rgba) from files that the image source decodes; ids by path."""
-    return decoded(spark.read.format("image").load(path))
+def image_files(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """images(image_id, width, height, rgba) from files that the image source decodes; ids by path. See decoded."""
+    return decoded(spark.read.format("image").load(path), strict)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """images of rows of the image source; those of other than 1, 3 or 4 channels go."""
-    raw = files.select("image.*").filter("nChannels in (1, 3, 4)")
+def decoded(files: DataFrame, strict: bool = False) -> DataFrame:
+    """images of rows of the image source; files that do not decode to 1, 3 or 4 channels go, or, if strict, raise with their path."""
+    fits = F.col("nChannels").isin(1, 3, 4)
+    refused = F.raise_error(F.concat(F.lit("UndecodableImage: "), F.col("origin"))).cast("boolean") if strict else F.lit(False)
+    raw = files.select("image.*").filter(F.when(fits, True).otherwise(refused))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

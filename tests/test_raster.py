@@ -10,7 +10,7 @@ from hueweave import __main__ as main
 from hueweave import api
 from hueweave.operators import borders, contours, quantize, regions, render
 from hueweave.plans import queries as registry
-from hueweave.settings import Settings, load, restrictions
+from hueweave.settings import Settings, form, load, restrictions
 from hueweave.sources import sinks
 from hueweave.sources.raster import image_files, resized_images, rgba_pixels
 from hueweave.streaming import images as images_
@@ -125,6 +125,8 @@ def test_settings():
     assert restrictions("// x\n\n1, 2,3\n") == ((1, 2, 3),)
     with pytest.raises(ValueError):
         restrictions("1,2,300")
+    s = form({"clusters": "12px", "precision": "-1", "seed": "0", "smoothing": "x", "removeFacets": "0", "maxFacets": "", "resizeWidth": "7", "resizeEnabled": "true", "fillFacets": "0", "colorRestrictions": "1,2,3\n1,2\n//", "removalOrder": "small_to_large", "unknown": "1"})
+    assert s == Settings(kmeans_clusters=12, resize_max_width=7, resize_enabled=True, fill_facets=False, color_restrictions=((1, 2, 3),), remove_facets_from_large_to_small=False)
 
 
 PALETTE = "image_id long, color_index int, r int, g int, b int"
@@ -219,8 +221,8 @@ def test_files_round_trip(spark, tmp_path):
     back = image_files(spark, str(source))
     assert back.first().rgba == images(spark, DONUT).first().rgba
     (tmp_path / "c.json").write_text('{"narrowPixelStripCleanupRuns": 0}')
-    main.run(spark, main.arguments(["-c", str(tmp_path / "c.json"), "-i", str(source), "-o", str(tmp_path / "out" / "x.svg"), "-k", "3", "--remove-facets-smaller-than", "1", "--format", "svg, palette.json,png,quantized.png,debug.json,profile.json,nonsense"]))
-    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["x.debug.json", "x.palette.json", "x.png", "x.profile.json", "x.quantized.png", "x.svg"]
+    main.run(spark, main.arguments(["-c", str(tmp_path / "c.json"), "-i", str(source), "-o", str(tmp_path / "out" / "x.svg"), "-k", "3", "--remove-facets-smaller-than", "1", "--format", "svg, palette.json,png,jpg,quantized.png,quantized.jpg,debug.json,profile.json,nonsense"]))
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["x.debug.json", "x.jpg", "x.palette.json", "x.png", "x.profile.json", "x.quantized.jpg", "x.quantized.png", "x.svg"]
     assert [e["frequency"] for e in json.loads((tmp_path / "out" / "x.palette.json").read_text())] == [1, 16, 8]
     assert json.loads((tmp_path / "out" / "x.profile.json").read_text())["width"] == 5
     seen = []
@@ -228,6 +230,26 @@ def test_files_round_trip(spark, tmp_path):
     assert seen == [(0, 1)]
 
 
+@pytest.mark.parametrize("w,h", [(1, 1), (8, 8), (37, 21), (64, 50)])
+def test_jpeg_round_trip(spark, tmp_path, w, h):
+    """Read back by the JVM's decoder: smooth pictures nearly as they were, one colour and noise too."""
+    r = np.random.default_rng(w)
+    y, x = np.mgrid[:h, :w]
+    smooth = np.stack([x * 255 // max(w, 2), y * 255 // max(h, 2), (x + y) * 255 // (w + h)], 2)
+    for i, (px, most) in enumerate(((smooth, 8), (np.full((h, w, 3), 77), 3), (r.integers(0, 256, (h, w, 3)), 40))):
+        (tmp_path / f"{i}.jpg").write_bytes(sinks.encode_jpeg(px.astype(np.uint8)))
+        back = image_files(spark, str(tmp_path / f"{i}.jpg"), strict=True).first()
+        got = np.frombuffer(back.rgba, np.uint8).reshape(back.height, back.width, 4)
+        assert got.shape == (h, w, 4) and np.abs(got[..., :3].astype(int) - px).max() <= most, i
+
+
+def test_files_that_do_not_decode(spark, tmp_path):
+    (tmp_path / "x.png").write_bytes(b"no image")
+    assert image_files(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="UndecodableImage.*x.png"):
+        image_files(spark, str(tmp_path), strict=True).collect()
+
+
 def test_resizing(spark):
     px = [(x * 10, 100, 0) for y in range(8) for x in range(16)]
     r = resized_images(images(spark, (16, 8, px), (2, 2, px[:4])), 8, 8).orderBy("image_id").collect()
@@ -241,4 +263,5 @@ def test_command_line_settings(tmp_path):
     s = main.settings(main.arguments(["-i", "a", "-o", "b", "-c", str(tmp_path / "c.json"), "--no-resize", "--border-smoothing-passes", "1"]))
     assert (s.kmeans_clusters, s.resize_enabled, s.border_smoothing_passes) == (5, False, 1)
     assert main.settings(main.arguments(["-i", "a", "-o", "b", "--resize-max-width", "7"])).resize_enabled
+    assert main.settings(main.arguments(["-i", "a", "-o", "b", "-c", str(tmp_path / "none.json"), "-k", "9"])).kmeans_clusters == 9
     assert sinks.place("out/x.svg") == ("out", "x") and sinks.place("out") == ("out", "result")
