@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hueweave.llm.common import documents, table
+from hueweave.llm.common import documents, small_batches, table
 from hueweave.llm.jaccard import one_of_each
 from hueweave.llm.language import known_language
 from hueweave.llm.mixing import mixed_corpus
@@ -37,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: pieces whose lengths are powers of two, with their ids."""
-    return packed(docs, vocabulary(), with_ids=True)
+    return small_batches(packed(docs, vocabulary(), with_ids=True))
 
 
 STAGES = [("language", language_stage), ("near duplicates", near_duplicate_stage), ("personal data", personal_data_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

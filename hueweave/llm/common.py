@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import functools
 import gc
@@ -20,6 +21,42 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that the JVM hands to Python. It holds each batch twice outside its heap, in buffers that double as they grow, for each task.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
+
+def _fewer(spark: SparkSession) -> str:
+    """BATCH_ROWS, or what the session has set if that is less; 0 and below mean no bound."""
+    own = int(spark.conf.get(BATCH, "0"))
+    return str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS)
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """The session's settings for a while; then they are as before."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df in a session like its own, but for batches of BATCH_ROWS for Python; its own keeps its settings.
+
+    The size of batches is read when a plan runs, so a plan that is given out must carry it."""
+    spark = df.sparkSession
+    own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(BATCH, _fewer(spark))
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where it is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -34,16 +71,10 @@ def table(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, survives lost executors, and is computed once.
 
     Shuffle files of the write are removed when it ends, as nothing reads them again."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    path, before = f"{shared_dir(spark)}/hueweave-{uuid.uuid4().hex}", spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/hueweave-{uuid.uuid4().hex}"
+    with _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: _fewer(spark)}):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     if not _WRITTEN:
@@ -78,10 +109,12 @@ def sweep(spark: SparkSession) -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Batches of so many rows at most; Spark bounds the bytes of one. What becomes of a slice in Python then is a few MB."""
+    """Batches of so many rows at most; Spark bounds the bytes of one. What becomes of a slice in Python then is a few MB, given back when they end."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+        del b
+    release()
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, key: str | list[str], salt_by: str, total: int, how: str = "inner", hot: int = 1_000, salts: int = 32) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import held, sliced
+from hueweave.llm.common import held, sliced, small_batches
 
 #: Longest context, in bytes.
 ORDER = 4
@@ -186,6 +186,6 @@ def known_language(docs: DataFrame, least: float = 0.3, highest: float = 5.0, sh
 
     Others go: texts that are null or hold no letter, those with a score below `least`, and those of `short` bytes or more that need over
     `highest` bits a byte even in the best language, as texts in an unlearned one and gibberish do; learned ones need two to three."""
-    found = languages(docs, text_col=text_col, keep=docs.columns, **more)
+    found = small_batches(languages(docs, text_col=text_col, keep=docs.columns, **more))
     strange = (F.col("bits_per_byte") > highest) & (F.octet_length(f"__{text_col}") >= short)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least) & ~strange).select(*[F.col(f"__{c}").alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import drop, shielded, sliced, table, text_or_empty
+from hueweave.llm.common import drop, shielded, sliced, small_batches, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # A run's start is the only place where a match can start, so runs are taken whole and never tried again from within.
@@ -292,7 +292,7 @@ def sanitised_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with sanitised texts and, if there is one, the count of characters; null texts stay null."""
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     marked = docs.withColumn("__null", F.col(text_col).isNull())
-    out = find(marked, id_col, text_col, keep=[*rest, "__null"], **more)
+    out = small_batches(find(marked, id_col, text_col, keep=[*rest, "__null"], **more))
     text = F.when(F.col("__null"), F.lit(None)).otherwise(F.col("__text"))
     new = {id_col: F.col("__id"), text_col: text, chars_col: F.length(text).cast("long")}
     return out.select(*[(new[c] if c in new else F.col(c)).alias(c) for c in docs.columns])
