@@ -25,10 +25,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
-def _fewer(spark: SparkSession) -> str:
-    """BATCH_ROWS, or what the session has set if that is less; 0 and below mean no bound."""
+def _fewer(spark: SparkSession, rows: int = BATCH_ROWS) -> str:
+    """rows, or what the session has set if that is less; 0 and below mean no bound."""
     own = int(spark.conf.get(BATCH, "0"))
-    return str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS)
+    return str(min(own, rows) if own > 0 else rows)
 
 
 @contextlib.contextmanager
@@ -67,13 +67,13 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "hueweave-shared")
 
 
-def table(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors, and is computed once.
+def table(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, survives lost executors, and is computed once. rows: of a batch for Python.
 
     Shuffle files of the write are removed when it ends, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hueweave-{uuid.uuid4().hex}"
-    with _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: _fewer(spark)}):
+    with _set(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH: _fewer(spark, rows)}):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path

@@ -6,19 +6,22 @@ largest by inner product."""
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.llm.common import table
-from hueweave.llm.vectors import asked, cells, classes, dealt, merged, usable
+from hueweave.llm.common import drop, table
+from hueweave.llm.vectors import classes, dealt, merged, usable
 
 
 def distances(x: np.ndarray, sq: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Squared distances of q[i] to x[at[i, j]]; at < 0 is infinitely far."""
-    d = sq[at] - 2 * np.einsum("ijd,id->ij", x[at], q) + np.einsum("id,id->i", q, q)[:, None]
+    d = sq[at] - 2 * np.matmul(x[at], q[:, :, None])[:, :, 0] + np.einsum("id,id->i", q, q)[:, None]
     return np.where(at < 0, np.float32(np.inf), np.maximum(d, 0))
 
 
@@ -72,15 +75,15 @@ def prune(x: np.ndarray, sq: np.ndarray, p: np.ndarray, cand: np.ndarray, degree
     out, at = np.full((len(p), degree), -1, np.int32), np.arange(len(p))
     if not width:
         return out
-    v = x[cand]
+    v, s = x[cand], sq[cand]
+    far = alpha * alpha * np.maximum(s[:, :, None] + s[:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1)), 0)
     for k in range(degree):
         near = d.argmin(axis=1)
         good = np.isfinite(d[at, near])
         if not good.any():
             break
         out[good, k] = cand[at, near][good]
-        far = sq[cand] - 2 * np.einsum("ijd,id->ij", v, v[at, near]) + sq[cand[at, near]][:, None]
-        d[alpha * alpha * np.maximum(far, 0) <= d] = np.inf
+        d[far[at, near] <= d] = np.inf
         d[at, near] = np.inf
     return out
 
@@ -127,21 +130,27 @@ def build(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2,
     return links, entry
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_shard: int = 10_000, block: int = 20_000, width: int = 192, **graph) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_shard: int = 20_000, block: int = 50_000, width: int = 192, **graph) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest others by inner product as the graphs find them,
     with scores in double precision, ties to the smaller id.
 
     Vectors that are null, zero or hold null or non-finite components, and null ids, take no part; components that a vector lacks, when others are
     longer, count as zeros; with fewer than k candidates all are returned, as shards of up to `width` nodes are searched whole; rows that repeat an id and
     a vector count once; rows of the query's own id are no candidates. Equal vectors are one node with their k + 1 smallest ids. Every distinct vector is in
-    one shard's graph, of about per_shard nodes. Graphs are built once and written to the shared folder; queries meet each in blocks."""
+    one shard's graph, of about per_shard nodes, or a quarter at least where shards are too few for the cores. Graphs are built once and written to the
+    shared folder. Queries go to all tasks in blocks, of 32 MB at most, and a task keeps the k nearest of all its shards, so neither queries nor graphs are copied
+    in a shuffle; each block reads the graphs once."""
     v = F.col(vector_col)
     good = vectors.filter(usable(v) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda c: c.cast("double") + 0.0).alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda a, c: a + c * c)
     top = good.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"), F.coalesce(F.max(norm), F.lit(0.0)).alias("sq")).first()
     good = good.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(top.dim) - F.size("vector"))))
-    nodes, shards = dealt(table(classes(good, "vector", k)), "vector", per_shard)
-    queries, blocks = asked(table(good.filter(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id")), shards, block)
+    tasks = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    few = table(classes(good, "vector", k))
+    nodes, shards = dealt(few, "vector", per_shard, tasks // 2)
+    block = min(block, max(256, (4 << 20) // max(1, top.dim)))
+    asked = table(good.filter(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id"))
+    blocks = max(1, -(-asked.count() // block))
     scale = 1 / np.sqrt(float(top.sq)) if top.sq else 1.0
 
     def index(side: pd.DataFrame) -> pd.DataFrame:
@@ -149,33 +158,56 @@ def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_col: st
         up = np.sqrt(np.maximum(0, 1 - (exact * exact).sum(axis=1) * scale * scale))
         x = np.concatenate([exact * scale, up[:, None]], 1).astype(np.float32)
         links = build(x, **graph) if len(x) > width else None
-        return pd.DataFrame({"shard": side["shard"].iloc[:1], "index": [pickle.dumps((exact, x, [np.asarray(i, np.int64) for i in side["ids"]], links), 5)]})
-
-    def search(side: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        ids_, near_, score_ = [], [], []
-        if len(side) and len(ask):
-            exact, x, own, links = pickle.loads(side["index"].iloc[0])
-            sq = np.einsum("id,id->i", x, x)
-            want, ids = np.stack(ask["vector"].to_list()).astype(np.float64), ask["query_id"].to_numpy(np.int64)
-            for a in range(0, len(ids), 512):
-                q = np.concatenate([want[a : a + 512] * scale, np.zeros((len(ids[a : a + 512]), 1))], 1).astype(np.float32)
-                met = np.tile(np.arange(len(x)), (len(q), 1)) if links is None else beam(x, sq, *links, q, max(width, k + 1))[0]
-                for i, row in enumerate(met):
-                    row = row[row >= 0]
-                    s = (exact[row] * want[a + i]).sum(axis=1)
-                    first = np.argsort(-s, kind="stable")
-                    me, got, last = int(ids[a + i]), [], np.inf
-                    for r, y in zip(row[first].tolist(), s[first].tolist(), strict=True):
-                        if len(got) >= k and y < last:  # all ties of the kth are in
-                            break
-                        got += [(-y, j) for j in own[r].tolist() if j != me]
-                        last = y
-                    got = sorted(got)[:k]
-                    ids_ += [me] * len(got)
-                    near_ += [j for _, j in got]
-                    score_ += [-y for y, _ in got]
-        return pd.DataFrame({"query_id": np.array(ids_, np.int64), "vec_id": np.array(near_, np.int64), "score": np.array(score_, np.float64)})
+        slim = exact.astype(np.float32)
+        slim = slim if (slim == exact).all() else exact
+        lens = side["ids"].map(len).to_numpy(np.int64)
+        return pd.DataFrame({"shard": side["shard"].iloc[:1], "index": [pickle.dumps((slim, x[:, -1], np.concatenate(side["ids"].to_list()).astype(np.int64), lens, links), 5)]})
+
+    def search(near: np.ndarray, score: np.ndarray, index: bytes, asking: np.ndarray, want: np.ndarray) -> None:
+        """The k nearest of each query so far, in near (its ids) and score (-inf: none), with those of one more shard."""
+        exact, up, flat, lens, links = pickle.loads(index)
+        x = np.concatenate([exact * scale, up[:, None]], 1).astype(np.float32)
+        sq, first = np.einsum("id,id->i", x, x), np.cumsum(lens) - lens
+        exact = exact.astype(np.float64)
+        for a in range(0, len(asking), 512):
+            q = np.concatenate([want[a : a + 512] * scale, np.zeros((len(asking[a : a + 512]), 1))], 1).astype(np.float32)
+            met = np.tile(np.arange(len(x)), (len(q), 1)) if links is None else beam(x, sq, *links, q, max(width, k + 1))[0]
+            for i, row in enumerate(met, a):
+                row = row[row >= 0]
+                s = (exact[row] * want[i]).sum(axis=1)
+                best = s >= score[i, -1]
+                row, s = row[best], s[best]
+                order = np.argsort(-s, kind="stable")
+                me, got, last = int(asking[i]), [], np.inf
+                for r, y in zip(row[order].tolist(), s[order].tolist(), strict=True):
+                    if len(got) >= k and y < last:  # all ties of the kth are in
+                        break
+                    got += [(-y, j) for j in flat[first[r] : first[r] + lens[r]].tolist() if j != me]
+                    last = y
+                if got:
+                    had = np.isfinite(score[i])
+                    got = sorted([*zip((-score[i][had]).tolist(), near[i][had].tolist(), strict=True), *got])[:k]
+                    near[i, : len(got)], score[i, : len(got)] = [j for _, j in got], [-y for y, _ in got]
+
+    def answers(b: int) -> DataFrame:
+        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        ids = rows["query_id"].to_numpy()
+        held = asked.sparkSession.sparkContext.broadcast((ids, rows["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), top.dim)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asking, want = held.value
+            near, score = np.zeros((len(asking), k), np.int64), np.full((len(asking), k), -np.inf)
+            for rows in batches:
+                for index in rows.column(0):
+                    search(near, score, index.as_buffer(), asking, want)
+            for a in range(0, len(asking), 5_000):
+                i, j = np.nonzero(np.isfinite(score[a : a + 5_000]))
+                yield pa.record_batch([pa.array(asking[a + i]), pa.array(near[a + i, j]), pa.array(score[a + i, j])], names=["query_id", "vec_id", "score"])
+
+        return table(merged(built.select("index").coalesce(tasks).mapInArrow(run, "query_id long, vec_id long, score double"), F.desc("score"), k), 1)
 
     built = table(nodes.repartition(min(100_000, 2 * shards), "shard").groupBy("shard").applyInPandas(index, "shard int, index binary"))
-    found = cells(built, queries, shards, blocks, search, "query_id long, vec_id long, score double")
-    return merged(found, F.desc("score"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    drop(few)
+    found = reduce(DataFrame.unionAll, [answers(b) for b in range(blocks)])
+    drop(built, asked)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -24,9 +24,10 @@ def classes(rows: DataFrame, key: str, k: int) -> DataFrame:
     return few.groupBy(key).agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def dealt(classes_: DataFrame, key: str, per_shard: int) -> tuple[DataFrame, int]:
-    """classes_ with shard, by a hash of the key, and the number of shards: one for each per_shard rows."""
-    n = max(1, -(-classes_.count() // per_shard))
+def dealt(classes_: DataFrame, key: str, per_shard: int, cores: int = 1) -> tuple[DataFrame, int]:
+    """classes_ with shard, by a hash of the key, and the number of shards: one for each per_shard rows, or up to `cores` of a quarter of that."""
+    rows = classes_.count()
+    n = max(1, -(-rows // per_shard), min(cores, -(-4 * rows // per_shard)))
     return classes_.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from hueweave.llm import vectors as vectors_module
 from hueweave.llm import common, graph, hamming, jaccard, language, mixing, pii, queries, sharding, tokens, urls
 
 D = "/root/testdata/sf0.001"
@@ -467,6 +468,19 @@ def test_graph_search(spark, vectors):
     assert graph.nearest_vectors(vectors.filter("false")).count() == 0
 
 
+def test_graph_search_copies_no_queries_or_graphs(spark, vectors, monkeypatch):
+    """Queries in several blocks, shards in one task or several: rows that leave the search grow with queries and tasks, not with shards."""
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", 1)
+    found = []
+    monkeypatch.setattr(graph, "merged", lambda rows, *more: found.append(common.table(rows, 1).count()) or vectors_module.merged(rows, *more))
+    want = plain_search(vectors, lambda a, b: -float(a @ b), 20)
+    got = defaultdict(list)
+    for r in graph.nearest_vectors(vectors, per_shard=20, block=8).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [j for _, j in w] for q, w in want.items()}
+    assert len(found) == 3 and len(want) * 20 <= sum(found) <= 2 * len(want) * 20
+
+
 def test_vectors_of_unequal_length_and_few_candidates(spark):
     """What a shorter vector lacks is zero; with fewer than k candidates all are found."""
     r = np.random.default_rng(6)
