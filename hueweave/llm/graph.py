@@ -130,7 +130,7 @@ def build(x: np.ndarray, degree: int = 24, width: int = 48, alpha: float = 1.2,
     return links, entry
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_shard: int = 20_000, block: int = 50_000, width: int = 192, **graph) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", per_shard: int = 10_000, block: int = 50_000, width: int = 192, **graph) -> DataFrame:
     """query_id, rank, vec_id, score: for every row whose id is divisible by `every`, its k nearest others by inner product as the graphs find them,
     with scores in double precision, ties to the smaller id.
 
